@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import urls
+from looploom.llm import quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mcd": quality.op1_quality_mcd,
     "op10_url_filter": urls.op10_url_filter,
 }
 
