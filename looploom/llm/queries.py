@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import quality, urls
+from looploom.llm import quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": quality.op1_quality_mcd,
+    "op3_simhash": simhash.op3_simhash,
     "op10_url_filter": urls.op10_url_filter,
 }
 
