@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import quality, simhash, urls
+from looploom.llm import packing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": quality.op1_quality_mcd,
     "op3_simhash": simhash.op3_simhash,
+    "op4_packing": packing.op4_packing,
     "op10_url_filter": urls.op10_url_filter,
 }
 
