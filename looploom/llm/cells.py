@@ -21,12 +21,12 @@ def divided(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     A cell of at most ``limit`` rows is one task in which all have side 0. Of a larger cell, task (i, i) compares chunk i with itself (side
     0) and task (i, j) the rows of chunk i (side 1) with those of chunk j (side 2).
     """
-    d = rows.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("n") / limit).cast("int"))
-    d = d.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    d = d.select(*rows.columns, "own", other.alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    d = rows.join(sizes, "cell").withColumn("__chunks", F.ceil(F.col("n") / limit).cast("int"))
+    d = d.withColumn("__own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("__chunks")).cast("int"))
+    other = F.explode(F.when(F.col("__chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    d = d.select(*rows.columns, "__own", other.alias("__other"))
+    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
+    side = F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)
     return d.select(*rows.columns, F.xxhash64("cell", low, high).alias("task"), side.cast("tinyint").alias("side"))
 
 
