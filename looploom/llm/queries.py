@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import lattice, mixing, packing, quality, simhash, urls, wavelet
+from looploom.llm import lattice, mixing, packing, quality, simhash, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": quality.op1_quality_mcd,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": packing.op4_packing,
     "op5_lattice": lattice.op5_lattice,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_wavelet": wavelet.op9_wavelet,
     "op10_url_filter": urls.op10_url_filter,
 }
