@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import lattice, mixing, packing, quality, simhash, toxicity, urls, wavelet
+from looploom.llm import counts, lattice, mixing, packing, quality, simhash, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": quality.op1_quality_mcd,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_lattice": lattice.op5_lattice,
+    "op6_token_counts": counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_wavelet": wavelet.op9_wavelet,
