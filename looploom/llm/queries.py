@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from looploom.llm import counts, lattice, mixing, packing, quality, simhash, toxicity, urls, wavelet
+from looploom.llm import counts, lattice, lm, mixing, packing, quality, simhash, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": quality.op1_quality_mcd,
+    "op2_pseudo_likelihood": lm.op2_pseudo_likelihood,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_lattice": lattice.op5_lattice,
