@@ -24,8 +24,15 @@ WINDOW, STEP = 32, 16
 SAMPLE_ROWS = 2000
 #: Words that a worker remembers, words of the vocabulary, and windows scored at once.
 REMEMBERED, VOCABULARY, BATCH_WINDOWS = 200_000, 20_000, 4096
+#: Share of a batch with label 1.
+POSITIVE = 0.2
+#: Rounds in which words are known by their evidence alone, and texts from which embeddings learn at the full rate: fewer learn more slowly.
+WITHOUT_EMBEDDINGS, FULL_RATE_TEXTS = 2, 2000
+#: Decay of the weights a step (times the rate), and share of words that training hides, both against learning texts by heart.
+DECAY, DROPPED = 0.01, 0.1
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, ATTENTION = 8, 12, 8, 2048, 8
-EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 11
+#: The network takes STEPS steps, in rounds that each choose the windows to learn from anew.
+ROUNDS, STEPS, BATCH, RATE, SEED = 4, 200, 128, 0.01, 11
 
 _TRIM = ".,!?;:\"'()[]{}*%$&#|<>-_"
 
@@ -50,12 +57,12 @@ class Network:
         r = np.random.default_rng(seed)
         n = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        # embeddings start at zero, so what training never touched adds nothing; a word's first two coordinates hold its evidence
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}  # row 0: words outside the vocabulary
         self.w = {
-            "Ew": n(len(vocabulary) + 1, WORD_DIM, scale=0.1), "Ec": n(CHAR_ROWS, CHAR_DIM, scale=0.1), "W": n(2, d, 3 * h, scale=d**-0.5), "U": n(2, h, 3 * h, scale=h**-0.5),
+            "Ew": np.zeros((len(vocabulary) + 1, WORD_DIM), np.float32), "Ec": np.zeros((CHAR_ROWS, CHAR_DIM), np.float32), "W": n(2, d, 3 * h, scale=d**-0.5), "U": n(2, h, 3 * h, scale=h**-0.5),
             "b": np.zeros((2, 3 * h), np.float32), "Wa": n(2 * h, ATTENTION, scale=0.3), "va": n(ATTENTION, scale=0.3), "wo": n(2 * h, scale=0.3), "bo": np.zeros(1, np.float32),
         }
-        self.w["Ew"][0] = 0
         self.scale, self.shift = 1.0, 0.0  # calibration of a text's highest logit
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,58 +228,70 @@ class Scorer:
         return _sigmoid(self.net.scale * self.logits(texts).astype(np.float64) + self.net.shift)
 
 
-def train(texts: list[str], y: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Network:
+def train(texts: list[str], y: np.ndarray, prior: float, steps: int = STEPS, seed: int = SEED) -> Network:
     """Fit a network to texts and 0/1 labels; ``prior`` is the share of label 1 where scores are to be used.
 
-    A text's label need not hold for each of its windows: the first epoch takes the window around the word that speaks most for label 1
-    (log odds of document counts), later ones the window that the network scores highest, for texts of either label, beside a random
-    window for texts of label 0. The highest logit is then calibrated by logistic regression with classes weighted to the prior.
+    A text's label need not hold for each of its windows: the first round takes the window around the word that speaks most for label 1
+    (log odds and signed root of the likelihood ratio of its document counts), later ones the window that the network scores highest, for texts of either label, beside a random
+    window for texts of label 0; POSITIVE of each batch has label 1. The highest logit is then calibrated by logistic regression with classes weighted to the prior.
     """
     rng = np.random.default_rng(seed)
     split = [[normal(w) for w in WORD_RE.findall(t)] for t in texts]
     seen = [Counter(w for words, k in zip(split, y, strict=True) if k == c for w in set(words)) for c in (0, 1)]
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     both = seen[0] + seen[1]
-    vocabulary = sorted((w for w, c in both.items() if c >= 4), key=lambda w: (-both[w], w))[:VOCABULARY]
+    vocabulary = sorted((w for w, c in both.items() if c >= 3), key=lambda w: (-both[w], w))[:VOCABULARY]
     net = Network(vocabulary, seed)
-    odds = {w: math.log((seen[1][w] + 1) / (n1 + 2)) - math.log((seen[0][w] + 1) / (n0 + 2)) for w in vocabulary}
-    net.w["Ew"][1:, 0] = [0.5 * odds[w] for w in vocabulary]
+    net.w["Ew"][1:, 0] = [np.clip(0.3 * _evidence(seen[1][w], n1, seen[0][w], n0), -3, 3) for w in vocabulary]
+    net.w["Ew"][1:, 1] = [0.5 * (math.log((seen[1][w] + 1) / (n1 + 2)) - math.log((seen[0][w] + 1) / (n0 + 2))) for w in vocabulary]
+    speech = dict(zip(vocabulary, net.w["Ew"][1:, :2].sum(axis=1).tolist(), strict=True))
     words = sorted({w for s in split for w in s})
     number = {w: i + 1 for i, w in enumerate(words)}
     features = net.inputs(["", *words])  # 0: padding
     at, real, first = layout([np.array([number[w] for w in s], np.int64) for s in split], 0)
     count = np.diff(np.r_[first, len(at)])
     text_of = np.repeat(np.arange(len(texts)), count)
-    speaks = np.array([-9.0, *[odds.get(w, 0.0) for w in words]])[at].max(axis=1)
+    speaks = np.array([-99.0, *[speech.get(w, 0.0) for w in words]])[at].max(axis=1)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
-    steps = 0
+    step, slow = 0, dict.fromkeys(("Ew", "Ec"), min(1.0, len(texts) / FULL_RATE_TEXTS))
 
     def highest(value: np.ndarray) -> np.ndarray:
         order = np.lexsort((-value, text_of))
         return order[first]
 
-    for epoch in range(epochs):
-        if epoch:
+    for number in range(ROUNDS):
+        if number:
             proj = net.project(net.embed(*features))
             speaks = np.concatenate([net.forward(proj, at[i : i + BATCH_WINDOWS], real[i : i + BATCH_WINDOWS]) for i in range(0, len(at), BATCH_WINDOWS)])
         top = highest(speaks)
-        other = (first + rng.integers(0, count))[y == 0]
-        chosen = rng.permutation(np.r_[top, other])
-        for i in range(0, len(chosen), BATCH):
-            k = chosen[i : i + BATCH]
-            _, grad = gradients(net, features, at[k], real[k], y[text_of[k]].astype(np.float32))
-            steps += 1
+        other = first + rng.integers(0, count)
+        positive = int(BATCH * POSITIVE)
+        pools = np.r_[top[y == 0], other[y == 0]], top[y == 1]
+        for _ in range(-(-steps // ROUNDS)):
+            k = np.concatenate([pool[rng.integers(0, len(pool), n)] for pool, n in zip(pools, (BATCH - positive, positive), strict=True)])
+            shown = np.where(rng.random(real[k].shape) < DROPPED, 0, at[k])
+            _, grad = gradients(net, features, shown, real[k], y[text_of[k]].astype(np.float32))
+            step += 1
+            if number < WITHOUT_EMBEDDINGS:
+                del grad["Ew"], grad["Ec"]
             for name, g in grad.items():
                 m, v = moment[name]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                net.w[name] -= (RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
+                net.w[name] -= (RATE * slow.get(name, 1.0) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) + RATE * DECAY * net.w[name]).astype(np.float32)
     proj = net.project(net.embed(*features))
     value = np.concatenate([net.forward(proj, at[i : i + BATCH_WINDOWS], real[i : i + BATCH_WINDOWS]) for i in range(0, len(at), BATCH_WINDOWS)])
     net.scale, net.shift = _calibrate(np.maximum.reduceat(value, first).astype(np.float64), y.astype(float), np.where(y == 1, prior / n1, (1 - prior) / n0))
     return net
 
 
+def _evidence(k1: int, n1: int, k0: int, n0: int) -> float:
+    """Signed root of the likelihood-ratio statistic of a word in k1 of n1 texts of label 1 and k0 of n0 of label 0."""
+    p = (k1 + k0) / (n1 + n0)
+    part = lambda k, n: sum(x * math.log(x / (n * q)) for x, q in ((k, p), (n - k, 1 - p)) if x)
+    return math.copysign(math.sqrt(max(0.0, 2 * (part(k1, n1) + part(k0, n0)))), k1 / n1 - k0 / n0)
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     a, b, weight = 1.0, 0.0, weight / weight.sum()
     for _ in range(50):  # Newton with a small ridge on the slope
