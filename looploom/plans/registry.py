@@ -1,4 +1,6 @@
 """All registered queries of the core engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from looploom.plans import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLE_SQL: dict = {**relational.ORACLE_SQL}
