@@ -1,6 +1,6 @@
 """All registered queries of the core engine and their SQL."""
 
-from looploom.plans import relational
+from looploom.plans import algorithms, relational
 
-QUERIES: dict = {**relational.QUERIES}
-ORACLE_SQL: dict = {**relational.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **algorithms.QUERIES}
+ORACLE_SQL: dict = {**relational.ORACLE_SQL, **algorithms.ORACLE_SQL}
