@@ -116,9 +116,10 @@ class Shard:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often an id stands in places ``lo`` to ``hi``."""
-        if token >> self.levels:
+        lo, hi = max(0, lo), self.n if hi is None else min(hi, self.n)
+        if token >> self.levels or lo >= hi:
             return 0
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        a, b = self._range(token, lo, hi)
         return b - a
 
     def locate(self, token: int, k: int) -> int:
