@@ -30,14 +30,24 @@ SIDES = (-2, -1, 1, 2)
 DIM, BATCH, SEED = 16, 1024, 5
 #: Learning rates of the rounds; in each, one place of SHARE is trained on.
 ROUNDS, SHARE = (0.08, 0.03), 16
-#: Models that one task averages, and words that a worker remembers.
-FAN_IN, REMEMBERED = 16, 400_000
+#: Models that one task averages, and endings that a worker remembers.
+FAN_IN, REMEMBERED = 16, 200_000
 
 
 def ending(word: str) -> int:
     return zlib.crc32(word[-3:].encode()) % ENDINGS
 
 
+class _Endings(dict):
+    """Token numbers of endings, made when they are first met; begun anew beyond a bound."""
+
+    def __missing__(self, end: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = self[end] = OWN + ending(end)
+        return n
+
+
 class Model:
     """Weights: ``E`` (sides, tokens + edge, DIM), ``b`` (DIM), class layer ``C``, ``c`` and inner layers ``T``, ``t``."""
 
@@ -45,7 +55,7 @@ class Model:
 
     def __init__(self, vocabulary: list[str], weights: dict[str, np.ndarray]):
         self.own, self.w = {w: i for i, w in enumerate(vocabulary)}, weights
-        self.memo: dict[str, int] = {}
+        self.ends = _Endings()
 
     @staticmethod
     def start(frequency: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -69,19 +79,11 @@ class Model:
         return out
 
     def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Token numbers of each text."""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        get, out = self.memo.get, []
+        """Token numbers of each text. Words of the vocabulary are looked up, others by their ending, of which there are few."""
+        own, ends, out = self.own.get, self.ends, []
         for t in texts:
-            w = WORD_RE.findall(t) if t else []
-            got = list(map(get, w))
-            if None in got:
-                for i, x in enumerate(got):
-                    if x is None:
-                        low = w[i].lower()
-                        got[i] = self.memo[w[i]] = self.own[low] if low in self.own else OWN + ending(low)
-            out.append(np.array(got, np.int64))
+            w = WORD_RE.findall(t.lower()) if t else []
+            out.append(np.array([n if n is not None else ends[x[-3:]] for n, x in zip(map(own, w), w, strict=True)], np.int64))
         return out
 
     @staticmethod
