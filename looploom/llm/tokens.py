@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers for each vocabulary.
-MEMO = 400_000
+MEMO = 1_000_000
 END_ID = 2
 
 #: White space other than space and U+0009 to U+000D: texts with such are given to the library whole.
