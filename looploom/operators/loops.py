@@ -105,3 +105,50 @@ def raw_sequences(loops: DataFrame, reads: DataFrame, pad: int = 500) -> DataFra
     d = padded(loops.join(reads.select(F.col("id").alias("read"), "seq", F.length("seq").alias("read_len")), "read"), pad)
     raw = F.substring("seq", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int"))
     return d.withColumn("raw", F.when(F.col("start") <= F.col("end"), raw).otherwise(revcomp(raw))).drop("seq", "lo", "hi")
+
+
+def unit_breaks(reads: DataFrame, consensus: str, k: int = 21, flank: int = 200, least: int = 3, join: int = 50) -> DataFrame:
+    """Where units begin in long reads: (``read``, ``read_len``, ``fwd``, ``breaks``), for the strand with more votes.
+
+    K-mers from the two ends of the consensus that occur once in it vote for the place of a unit's beginning; votes within ``join`` bases are
+    one break, at their upper median, if there are ``least`` of them.
+    """
+    import pandas as pd
+
+    n, table = len(consensus), str.maketrans("ACGTacgt", "TGCATGCA")
+    flank = min(flank, n // 2)
+    seen: dict[str, int] = {}
+    for i in range(n - k + 1):
+        x = consensus[i : i + k]
+        seen[x] = -1 if x in seen else i
+    votes = {x: (-i if i < flank else n - i) for x, i in seen.items() if i >= 0 and (i < flank or i > n - k - flank)}
+
+    def places(s: str) -> tuple[int, list[int]]:
+        at = sorted(i + votes[x] for i in range(len(s) - k + 1) if (x := s[i : i + k]) in votes)
+        runs: list[list[int]] = []
+        for p in at:
+            if runs and p - runs[-1][-1] <= join:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        return len(at), [r[len(r) // 2] for r in runs if len(r) >= least and 0 <= r[len(r) // 2] <= len(s)]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, s in zip(b["id"], b["seq"], strict=True):
+                (a, there), (c, back) = places(s), places(s.translate(table)[::-1])
+                out.append((name, len(s), a >= c, there if a >= c else back))
+            yield pd.DataFrame(out, columns=["read", "read_len", "fwd", "breaks"])
+
+    return reads.select("id", "seq").where("seq is not null").mapInPandas(run, "read string, read_len long, fwd boolean, breaks array<long>")
+
+
+def loops_between_breaks(reads: DataFrame, breaks: DataFrame, min_length: int) -> DataFrame:
+    """Loops (``read``, ``start``, ``end``, ``raw``) between consecutive breaks of at least ``min_length`` bases, in the consensus' direction; ``start`` lies
+    above ``end`` on the reverse strand."""
+    from looploom.functions.seq import revcomp
+
+    d = breaks.where(F.size("breaks") >= 2).select("read", "read_len", "fwd", F.posexplode("breaks").alias("i", "a"), "breaks").withColumn("b", F.get("breaks", F.col("i") + 1)).where(F.col("b").isNotNull() & (F.col("b") - F.col("a") >= min_length))
+    d = d.join(reads.select(F.col("id").alias("read"), "seq"), "read").withColumn("s", F.when(F.col("fwd"), F.col("seq")).otherwise(revcomp("seq")))
+    return d.select("read", F.when(F.col("fwd"), F.col("a")).otherwise(F.col("read_len") - F.col("a")).alias("start"), F.when(F.col("fwd"), F.col("b")).otherwise(F.col("read_len") - F.col("b")).alias("end"), F.substring("s", F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")).alias("raw"))

@@ -1 +1 @@
-
+"""Recruiting from streams of reads."""
