@@ -136,9 +136,14 @@ def morph_type(starts_anchored, ends_anchored) -> Column:
     return F.when(s & e, "isolated").when(s, "borderone").when(e, "bordertwo").otherwise("inner")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def wang_hash(key) -> Column:
-    """Wang's 64-bit integer hash (wrapping arithmetic, written with shifts and carry-free parts)."""
-    # sums wrap, so they are taken in 32-bit halves
+    """Wang's 64-bit integer hash (fixed function). Sums wrap, so they are taken in 32-bit halves."""
+
     def add(a: Column, b: Column) -> Column:
         mask = F.lit(0xFFFFFFFF)
         low = a.bitwiseAND(mask) + b.bitwiseAND(mask)
@@ -146,13 +151,17 @@ def wang_hash(key) -> Column:
         return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(mask))
 
     k = c(key).cast("long")
-    k = add(F.bitwise_not(k), F.shiftleft(k, 21))
-    k = k.bitwiseXOR(F.shiftrightunsigned(k, 24))
-    k = add(add(k, F.shiftleft(k, 3)), F.shiftleft(k, 8))
-    k = k.bitwiseXOR(F.shiftrightunsigned(k, 14))
-    k = add(add(k, F.shiftleft(k, 2)), F.shiftleft(k, 4))
-    k = k.bitwiseXOR(F.shiftrightunsigned(k, 28))
-    return add(k, F.shiftleft(k, 31))
+    for step in (
+        lambda k: add(F.bitwise_not(k), F.shiftleft(k, 21)),
+        lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, 24)),
+        lambda k: _let(add(k, F.shiftleft(k, 3)), lambda x: add(x, F.shiftleft(k, 8))),
+        lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, 14)),
+        lambda k: _let(add(k, F.shiftleft(k, 2)), lambda x: add(x, F.shiftleft(k, 4))),
+        lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, 28)),
+        lambda k: add(k, F.shiftleft(k, 31)),
+    ):
+        k = _let(k, step)
+    return k
 
 
 def interpolate(offset, path_len, start, end) -> Column:
