@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each SimHash component: the one with the smallest doc_id (one row of it, should rows repeat)."""
     found = materialize(simhash_components(docs).where("doc_id = component_id").select("doc_id"), "kept")
     rows, kept = found.count(), found.distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
+    out = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")  # the same plan at every size: both sides by doc_id, no sort
     if kept.count() < rows:  # some rows share a doc_id
         out = out.dropDuplicates(["doc_id"])
     return out.select(*[f"`{c}`" for c in docs.columns])
