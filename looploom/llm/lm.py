@@ -5,7 +5,7 @@ its tokens. Tokens are lower-cased words: the most frequent of the whole corpus
 (hashed). The output is a two-level softmax (class, then token in class), so probabilities are exact and sum to one.
 
 What is gathered from the corpus grows with it: word counts of all texts make the vocabulary and the starting biases; training is data-parallel, each
-partition training on a fixed share of the places of all its texts, and the weights of the partitions are averaged in a tree of bounded fan-in.
+partition training on every place of all its texts once, half of them in each of two rounds, and the weights of the partitions are averaged in a tree of bounded fan-in.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ ENDINGS = TOKENS - OWN
 EDGE = TOKENS
 SIDES = (-2, -1, 1, 2)
 DIM, BATCH, SEED = 16, 1024, 5
-#: Learning rates of the rounds; in each, one place of SHARE is trained on.
-ROUNDS, SHARE = (0.08, 0.03), 16
+#: Learning rates of the rounds; in each, one place of SHARE is trained on, so the rounds together train on every place.
+ROUNDS, SHARE = (0.08, 0.03), 2
 #: Models that one task averages, and endings that a worker remembers.
 FAN_IN, REMEMBERED = 16, 200_000
 
@@ -212,7 +212,10 @@ def _averaged(models: DataFrame) -> bytes | None:
 
 
 def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE, seed: int = SEED) -> Model:
-    """A model of ``docs`` (``text``): vocabulary and biases from all words, weights from one place in ``share`` of every text and round."""
+    """A model of ``docs`` (``text``): vocabulary and biases from all words, weights from all places, one in ``share`` each round.
+
+    Every place is trained on where there are ``share`` rounds or more.
+    """
     spark = docs.sparkSession
     count = materialize(docs.select(F.explode(words(F.lower("text"))).alias("word")).groupBy("word").count(), "words")
     top = [r["word"] for r in count.orderBy(F.desc("count"), "word").limit(OWN).select("word").collect()]
@@ -234,7 +237,7 @@ def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE,
                 for i in range(0, b.num_rows, 256):
                     part = b.slice(i, 256).column(0).to_pylist()
                     token, around = local.sides(local.tokens(part))
-                    at = np.arange((i // 256 * 7 + number * (share // 2)) % share, len(token), share)
+                    at = np.arange((i // 256 * 7 + number) % share, len(token), share)
                     if len(at):
                         trainer.add(token[at], around[:, at])
             trainer.flush()
@@ -243,9 +246,8 @@ def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE,
 
         trained = materialize(docs.select(F.col("text").cast("string")).mapInArrow(train, "slot long, places long, weights binary"), "models")
         weights = _averaged(trained)
-        if weights is None:
-            break
-        model = Model(top, Model.from_bytes(weights))
+        if weights is not None:
+            model = Model(top, Model.from_bytes(weights))
     return model
 
 

@@ -96,6 +96,20 @@ def test_lm(docs, none):
     assert lm.score_lm(none, lm.fit(none.select("text"))).count() == 0
 
 
+def test_lm_trains_on_every_place(docs, monkeypatch):
+    kept, places = lm.materialize, []
+
+    def spy(df, name):
+        out = kept(df, name)
+        if name == "models":
+            places.append(sum(r["places"] for r in out.select("places").collect()))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", spy)
+    lm.fit(docs.select("text").coalesce(1))  # one partition: no averages are materialized
+    assert sum(places) == sum(len(WORD.findall(r["text"] or "")) for r in docs.collect())
+
+
 def test_lm_gradient():
     r = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in lm.Model.start(r.random(lm.TOKENS) * 9).items()}
