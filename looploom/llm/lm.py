@@ -1,31 +1,39 @@
 """Language-model scores: masked pseudo-likelihood of a bidirectional window network, in numpy.
 
 Each token is predicted from the two tokens on either side, itself masked; a text's score is the sum of the conditional log-probabilities of all
-its tokens. Tokens are lower-cased words: the most frequent of the whole corpus stand for themselves, others are told apart by their ending
-(hashed). The output is a two-level softmax (class, then token in class), so probabilities are exact and sum to one.
+its tokens. Tokens are lower-cased words: the most frequent of the whole corpus stand for themselves, others are predicted by their ending
+(hashed) and then by their share of the ending's words. The output is a two-level softmax (class, then token in class) with that share as a third
+level, so probabilities are exact and sum to one.
 
-What is gathered from the corpus grows with it: word counts of all texts make the vocabulary and the starting biases; training is data-parallel, each
+What is gathered from the corpus grows with it: word counts of all texts make the vocabulary (all words of LEAST or more, with classes to match),
+the starting biases and the shares; training is data-parallel, each
 partition training on every place of all its texts once, half of them in each of two rounds, and the weights of the partitions are averaged in a tree of bounded fan-in.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from looploom.llm.text import WORD_RE, table, words
 from looploom.tables import materialize
 
-#: Classes of the softmax and tokens in each; words that stand for themselves; the rest are endings. One row more is the edge of a text.
+#: Least numbers of classes of the softmax and tokens in each; words that stand for themselves; the rest are endings. One row more is the edge of a text.
 CLASSES = INSIDE = 64
 TOKENS = CLASSES * INSIDE
 OWN = 3072
 ENDINGS = TOKENS - OWN
 EDGE = TOKENS
+#: Words of so many finds all stand for themselves; beyond OWN of them classes and tokens in each are more than 64.
+LEAST = 1000
+#: Up to so many counts of other words (12 bytes each) are sent to the workers; more are joined.
+BROADCAST_WORDS = 2_000_000
 SIDES = (-2, -1, 1, 2)
 DIM, BATCH, SEED = 16, 1024, 5
 #: Learning rates of the rounds; in each, one place of SHARE is trained on, so the rounds together train on every place.
@@ -39,57 +47,85 @@ def ending(word: str) -> int:
 
 
 class _Endings(dict):
-    """Token numbers of endings, made when they are first met; begun anew beyond a bound."""
+    """Token numbers of endings, which follow those of ``own`` words, made when they are first met; begun anew beyond a bound."""
+
+    def __init__(self, own: int):
+        self.own = own
 
     def __missing__(self, end: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        n = self[end] = OWN + ending(end)
+        n = self[end] = self.own + ending(end)
         return n
 
 
 class Model:
-    """Weights: ``E`` (sides, tokens + edge, DIM), ``b`` (DIM), class layer ``C``, ``c`` and inner layers ``T``, ``t``."""
+    """Weights: ``E`` (sides, tokens + edge, DIM), ``b`` (DIM), class layer ``C``, ``c`` and inner layers ``T``, ``t``.
+
+    ``ended`` has the finds of each ending's words. ``counts`` (``h``, ``log_count``) has the words of two finds or more that don't stand for
+    themselves, as a table of the driver; ``known`` the same as sorted arrays, or None where they are too many. A word that is not there has one
+    find, as has the unseen word that each ending keeps a share for.
+    """
 
     NAMES = ("E", "b", "C", "c", "T", "t")
 
     def __init__(self, vocabulary: list[str], weights: dict[str, np.ndarray]):
         self.own, self.w = {w: i for i, w in enumerate(vocabulary)}, weights
-        self.ends = _Endings()
+        self.classes, self.inside = weights["t"].shape
+        self.edge = self.classes * self.inside
+        self.first = self.edge - ENDINGS
+        self.ends = _Endings(self.first)
+        self.ended, self.known, self.counts = np.zeros(ENDINGS), None, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
 
     @staticmethod
     def start(frequency: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
         """Random weights, biases from the frequency of each token."""
         r = np.random.default_rng(seed)
         p = (frequency + 0.5) / (frequency + 0.5).sum()
-        by = p.reshape(CLASSES, INSIDE).sum(axis=1)
+        k = math.isqrt(len(p))
+        by = p.reshape(k, k).sum(axis=1)
         n = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
-        return {"E": n(len(SIDES), TOKENS + 1, DIM), "b": np.zeros(DIM, np.float32), "C": n(DIM, CLASSES), "c": np.log(by).astype(np.float32), "T": n(CLASSES, DIM, INSIDE), "t": np.log(p.reshape(CLASSES, INSIDE) / by[:, None]).astype(np.float32)}
+        return {"E": n(len(SIDES), k * k + 1, DIM), "b": np.zeros(DIM, np.float32), "C": n(DIM, k), "c": np.log(by).astype(np.float32), "T": n(k, DIM, k), "t": np.log(p.reshape(k, k) / by[:, None]).astype(np.float32)}
 
     def to_bytes(self) -> bytes:
         return b"".join(self.w[k].astype("<f4").tobytes() for k in self.NAMES)
 
     @staticmethod
-    def from_bytes(data: bytes) -> dict[str, np.ndarray]:
-        shapes = ((len(SIDES), TOKENS + 1, DIM), (DIM,), (DIM, CLASSES), (CLASSES,), (CLASSES, DIM, INSIDE), (CLASSES, INSIDE))
+    def from_bytes(data: bytes, k: int) -> dict[str, np.ndarray]:
+        shapes = ((len(SIDES), k * k + 1, DIM), (DIM,), (DIM, k), (k,), (k, DIM, k), (k, k))
         flat, out, at = np.frombuffer(data, "<f4"), {}, 0
         for k, s in zip(Model.NAMES, shapes, strict=True):
             out[k] = flat[at : at + int(np.prod(s))].reshape(s).copy()
             at += int(np.prod(s))
         return out
 
-    def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Token numbers of each text. Words of the vocabulary are looked up, others by their ending, of which there are few."""
+    def tokens(self, texts: list[str | None], others: list[int] | None = None) -> list[np.ndarray]:
+        """Token numbers of each text. Words of the vocabulary are looked up, others by their ending, of which there are few; ``others`` gets
+        the hashes of these, in order."""
         own, ends, out = self.own.get, self.ends, []
         for t in texts:
             w = WORD_RE.findall(t.lower()) if t else []
-            out.append(np.array([n if n is not None else ends[x[-3:]] for n, x in zip(map(own, w), w, strict=True)], np.int64))
+            found = list(map(own, w))
+            out.append(np.array([n if n is not None else ends[x[-3:]] for n, x in zip(found, w, strict=True)], np.int64))
+            if others is not None:
+                others += [xxhash.xxh64_intdigest(x.encode(), 42) for n, x in zip(found, w, strict=True) if n is None]
         return out
 
-    @staticmethod
-    def sides(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All places of the texts: the token there, and (sides, places) the tokens around it (EDGE beyond a text)."""
-        gap = np.full(2, EDGE)
+    def share(self, token: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Log-share of each place's word in its token: 0 for words that stand for themselves. Without ``known``, the log-counts are left out."""
+        out, other = np.zeros(len(token)), token >= self.first
+        out[other] = -np.log1p(self.ended[token[other] - self.first])
+        if self.known is not None and len(self.known[0]) and len(others):
+            at = np.minimum(np.searchsorted(self.known[0], others), len(self.known[0]) - 1)
+            out[other] += np.where(self.known[0][at] == others, self.known[1][at], 0)
+        return out
+
+    def sides(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the texts: the token there, and (sides, places) the tokens around it (the edge beyond a text)."""
+        gap = np.full(2, self.edge)
         flat = np.concatenate([gap, *[x for t in texts for x in (t, gap)]])
         size = np.array([len(t) for t in texts], np.int64)
         place = np.arange(size.sum()) + np.repeat(2 + 2 * np.arange(len(texts)), size)
@@ -101,13 +137,13 @@ class Model:
 
     def log_probability(self, token: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log-probability of each token given those around it."""
-        h, kind, inner = self.hidden(around), token // INSIDE, token % INSIDE
+        h, kind, inner = self.hidden(around), token // self.inside, token % self.inside
         a = h @ self.w["C"] + self.w["c"]
         a -= a.max(axis=1, keepdims=True)
         out = a[np.arange(len(a)), kind] - np.log(np.exp(a).sum(axis=1))
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             rows = order[ends[k] : ends[k + 1]]
             if len(rows):
                 a = h[rows] @ self.w["T"][k] + self.w["t"][k]
@@ -117,17 +153,23 @@ class Model:
 
     def score(self, texts: list[str | None], places: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and summed log-probability of each text."""
-        ids = self.tokens(texts)
+        return self.score_others(texts, places)[:2]
+
+    def score_others(self, texts: list[str | None], places: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`score`, with the hashes of the words that don't stand for themselves, and how many each text has."""
+        found: list[int] = []
+        ids = self.tokens(texts, found)
+        others = np.array(found, np.uint64).view(np.int64)
         size = np.array([len(t) for t in ids], np.int64)
         token, around = self.sides(ids)
         logp = [self.log_probability(token[i : i + places], around[:, i : i + places]) for i in range(0, len(token), places)]
-        total = np.r_[0.0, np.cumsum(np.concatenate([np.zeros(0), *logp]).astype(np.float64))]
+        total = np.r_[0.0, np.cumsum(np.concatenate([np.zeros(0), *logp]).astype(np.float64) + self.share(token, others))]
         ends = np.cumsum(size)
-        return size, total[ends] - total[ends - size]
+        return size, total[ends] - total[ends - size], others, np.array([np.count_nonzero(t >= self.first) for t in ids], np.int64)
 
     def gradients(self, token: np.ndarray, around: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean negative log-probability, gradients of all weights but E, and that of the hidden sum (for E)."""
-        h, kind, inner, n = self.hidden(around), token // INSIDE, token % INSIDE, len(token)
+        h, kind, inner, n = self.hidden(around), token // self.inside, token % self.inside, len(token)
         rows = np.arange(n)
         a = h @ self.w["C"] + self.w["c"]
         p = np.exp(a - a.max(axis=1, keepdims=True))
@@ -137,8 +179,8 @@ class Model:
         grad = {"C": h.T @ p / n, "c": p.sum(axis=0) / n, "T": np.zeros_like(self.w["T"]), "t": np.zeros_like(self.w["t"])}
         dh = p @ self.w["C"].T
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        ends = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             r = order[ends[k] : ends[k + 1]]
             if len(r):
                 a = h[r] @ self.w["T"][k] + self.w["t"][k]
@@ -218,12 +260,22 @@ def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE,
     """
     spark = docs.sparkSession
     count = materialize(docs.select(F.explode(words(F.lower("text"))).alias("word")).groupBy("word").count(), "words")
-    top = [r["word"] for r in count.orderBy(F.desc("count"), "word").limit(OWN).select("word").collect()]
+    k = math.isqrt(max(OWN, count.where(F.col("count") >= LEAST).count()) + ENDINGS - 1) + 1
+    first = k * k - ENDINGS
+    top = [r["word"] for r in count.orderBy(F.desc("count"), "word").limit(first).select("word").collect()]
     own = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word string, i int")
-    unit = F.coalesce("i", OWN + F.crc32(F.expr("right(word, 3)")) % ENDINGS)
-    frequency = np.zeros(TOKENS)
-    for r in count.join(F.broadcast(own), "word", "left").groupBy(unit.cast("int").alias("unit")).agg(F.sum("count").alias("n")).collect():  # TOKENS rows at most
+    unit = F.coalesce("i", first + F.crc32(F.expr("right(word, 3)")) % ENDINGS)
+    frequency = np.zeros(k * k)
+    for r in count.join(F.broadcast(own), "word", "left").groupBy(unit.cast("int").alias("unit")).agg(F.sum("count").alias("n")).collect():  # a row a token at most
         frequency[r["unit"]] = r["n"]
+    other = count.where("count > 1").join(F.broadcast(own), "word", "left_anti")
+    other = materialize(other.select(F.xxhash64("word").alias("h"), F.log("count").alias("log_count")), "counts")
+    known = None
+    if other.count() <= BROADCAST_WORDS:
+        t = other.toArrow()
+        h, n = t.column("h").to_numpy(), t.column("log_count").to_numpy()
+        order = np.argsort(h, kind="stable")
+        known = h[order], n[order].astype(np.float32)
     model = Model(top, Model.start(frequency, seed))
     for number, rate in enumerate(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -247,7 +299,8 @@ def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE,
         trained = materialize(docs.select(F.col("text").cast("string")).mapInArrow(train, "slot long, places long, weights binary"), "models")
         weights = _averaged(trained)
         if weights is not None:
-            model = Model(top, Model.from_bytes(weights))
+            model = Model(top, Model.from_bytes(weights, k))
+    model.ended, model.known, model.counts = frequency[first:], known, other
     return model
 
 
@@ -258,16 +311,24 @@ def score_lm(docs: DataFrame, model: Model) -> DataFrame:
     up to rounding; other columns are ignored; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    joined = model.known is None and model.counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 rows = b.slice(i, 256)
-                n, s = m.score(rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(s)], ["doc_id", "n_tokens", "log_probability"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_probability double")
+                n, s, h, per = m.score_others(rows.column(1).to_pylist())
+                out, names = [rows.column(0), pa.array(n), pa.array(s)], ["doc_id", "n_tokens", "log_probability"]
+                if joined:
+                    out, names = [*out, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(h))], [*names, "others"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, log_probability double" + ", others array<long>" * joined)
+    if joined:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        more = scored.select("row", F.explode("others").alias("h")).join(model.counts, "h").groupBy("row").agg(F.sum("log_count").alias("more"))
+        scored = scored.join(more, "row", "left").select("doc_id", "n_tokens", (F.col("log_probability") + F.coalesce("more", F.lit(0.0))).alias("log_probability"))
     return scored.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
 
 

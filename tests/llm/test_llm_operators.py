@@ -110,6 +110,33 @@ def test_lm_trains_on_every_place(docs, monkeypatch):
     assert sum(places) == sum(len(WORD.findall(r["text"] or "")) for r in docs.collect())
 
 
+def test_lm_tells_rare_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm, "OWN", 1)  # 33 * 33 tokens, of which 65 words
+    rows = [(i, f"w{i % 65}a " * 30) for i in range(65)] + [(100, "walking " * 20), (101, "xqzking"), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs)
+    assert len(model.own) == 65 and "walking" not in model.own
+    p = dict(zip(("walking", "xqzking", "unking"), np.exp(model.score(["walking", "xqzking", "unking"])[1]), strict=True))
+    assert math.isclose(p["walking"], 20 * p["xqzking"], rel_tol=1e-5) and math.isclose(p["unking"], p["xqzking"], rel_tol=1e-5)
+    ended = model.first + lm.ending("king")
+    whole = float(np.exp(model.log_probability(np.array([ended]), np.full((4, 1), model.edge)))[0])
+    assert math.isclose(p["walking"] + p["xqzking"] + p["unking"], whole, rel_tol=1e-5)
+    got = {r["doc_id"]: r["log_probability"] for r in lm.score_lm(docs, model).collect()}
+    model.known = None  # as for more words than are sent out
+    joined = {r["doc_id"]: r["log_probability"] for r in lm.score_lm(docs, model).collect()}
+    assert got.keys() == joined.keys() and all(math.isclose(got[i], joined[i], rel_tol=1e-6) for i in got)
+
+
+def test_lm_vocabulary_grows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000)) + " ") for i in range(5)] * 2, "doc_id long, text string")
+    model = lm.fit(docs)
+    assert len(model.own) == 5000 and model.classes == model.inside == 78
+    around = np.full((4, model.edge), model.edge)
+    assert math.isclose(float(np.exp(model.log_probability(np.arange(model.edge), around)).sum()), 1, rel_tol=1e-4)
+    assert np.isfinite(model.score(["w1 w4999 none"])[1]).all()
+
+
 def test_lm_gradient():
     r = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in lm.Model.start(r.random(lm.TOKENS) * 9).items()}
