@@ -386,6 +386,40 @@ def _(t):
     return core.agg((F.count("*") > 0).alias("cyclic"))
 
 
+def links(t) -> DataFrame:
+    """Suppliers and orders that any line connects."""
+    return t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_orderkey") + 100000000).alias("dst"))
+
+
+# of all lines: recursive SQL takes the square of the giant component, so there is none
+@query("connected_components_all")
+def _(t):
+    return connected_components(links(t))
+
+
+@query("tangle_components_all")
+def _(t):
+    return G.components_with_size(links(t), 10)
+
+
+SQL_NEXT_ALL = "nx as (select distinct c_nationkey as src, (c_custkey % 25)::int as dst from customer)"
+
+
+def all_nation_edges(t) -> DataFrame:
+    return t("customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).cast("int").alias("dst"))
+
+
+@query("reachability_all", f"with recursive {SQL_NEXT_ALL}, r as (select min(src) as node from nx union select dst from r join nx on node = src) select node from r where node is not null")
+def _(t):
+    e = all_nation_edges(t)
+    return G.reachable(e, e.agg(F.min("src").alias("node")).where("node is not null"))
+
+
+@query("has_cycle_all", f"with recursive {SQL_NEXT_ALL}, r as (select src, dst from nx union select r.src, nx.dst from r join nx on r.dst = nx.src) select count(*) > 0 as cyclic from r where src = dst")
+def _(t):
+    return G.cyclic_core(all_nation_edges(t)).agg((F.count("*") > 0).alias("cyclic"))
+
+
 SQL_BUBBLE = "be as (select distinct l_partkey as src, 10000000 + l_orderkey as dst from lineitem where l_linenumber = 1 union select distinct 10000000 + l_orderkey, 20000000 + l_suppkey from lineitem where l_linenumber = 1)"
 
 

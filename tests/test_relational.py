@@ -1,11 +1,15 @@
 """Functions and relational operators on hand cases."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from looploom.functions import seq as S
 from looploom.operators import clusters, graph, intervals, kmer, loops
 from looploom.operators.components import connected_components
+from looploom.plans import registry
 
 
 def one(spark, col):
@@ -117,3 +121,30 @@ def test_missing_and_morph_graph(spark):
     cut = spark.createDataFrame([("r", 0, 100, "m1"), ("r", 150, 300, "m2"), ("r", 5000, 5100, "m1")], "read string, start long, end long, morph string")
     edges, paths = loops.morph_graph(cut)
     assert [tuple(r) for r in edges.collect()] == [("m2", False, "m1", False, 1)] and paths.count() == 2
+
+
+def test_components_of_all_lines(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(1 + int(99 * r.random() ** 4), r.randrange(1, 400), 0.01, 0.0) for _ in range(300)]  # a hub, a giant component and small ones
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for s, o, *_ in rows:
+        a, b = find(s), find(o + 100000000)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in up}
+    assert dict(map(tuple, registry.QUERIES["connected_components_all"](spark, str(tmp_path)).collect())) == want
+    size = Counter(want.values())
+    assert set(map(tuple, registry.QUERIES["tangle_components_all"](spark, str(tmp_path)).collect())) == {(x, c, size[c]) for x, c in want.items() if size[c] >= 10}
+
+
+def test_nations_of_all_customers(spark, tmp_path):
+    for name, rows, cyclic in (("ring", [(1, 2), (2, 28), (3, 26), (7, 9)], True), ("chain", [(1, 2), (2, 28), (7, 9)], False)):
+        spark.createDataFrame([(n, c, 5.0) for n, c in rows], "c_nationkey int, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/{name}/customer.parquet")
+        assert {x["node"] for x in registry.QUERIES["reachability_all"](spark, f"{tmp_path}/{name}").collect()} == {1, 2, 3}
+        assert registry.QUERIES["has_cycle_all"](spark, f"{tmp_path}/{name}").first()["cyclic"] is cyclic
