@@ -82,6 +82,13 @@ def anchors(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     return kmers(queries, k).join(ref, "kmer").select("id", "ref_pos", "pos", (F.col("ref_pos") - F.col("pos")).alias("diag"))
 
 
+def anchors_each(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """As :func:`anchors`, against each of many references by itself: (``id``, ``ref``, ``ref_pos``, ``pos``, ``diag``)."""
+    once = kmers(references, k).groupBy("id", "kmer").agg(F.count("*").alias("n"), F.min("pos").alias("ref_pos")).where("n = 1")
+    hits = kmers(queries, k).join(once.select(F.col("id").alias("ref"), "kmer", "ref_pos"), "kmer")
+    return hits.select("id", "ref", "ref_pos", "pos", (F.col("ref_pos") - F.col("pos")).alias("diag"))
+
+
 def islands(df: DataFrame, by: list[str], order: str, gap: int, name: str = "island") -> DataFrame:
     """Number (from 0) of the run of rows, ordered by ``order``, that are at most ``gap`` apart."""
     w = W.partitionBy(*by).orderBy(order)

@@ -85,6 +85,13 @@ def _(t):
     return points.select("id", F.explode(grouped.longest_chain("p")).alias("x")).select("id", "x.ref_pos", "x.pos")
 
 
+@query("longest_chain_all")
+def _(t):
+    """Longest increasing chain of each document's anchors in each benchmark item."""
+    points = relational.all_anchored(t).groupBy("id", "item_id").agg(F.collect_list(F.struct("ref_pos", "pos")).alias("p"))
+    return points.select("id", "item_id", F.explode(grouped.longest_chain("p")).alias("x")).select("id", "item_id", "x.ref_pos", "x.pos")
+
+
 def clustered(t) -> DataFrame:
     """Benchmark items as loops, in clusters by their first two bases."""
     s = t("benchmark").select(F.col("item_id").alias("id"), dna("text").alias("seq"))

@@ -219,6 +219,34 @@ def _(t):
     return K.drop_repeats(anchored(t), ["id"], either=True)
 
 
+SQL_ANCHORS_ALL = f"{SQL_READS}, {SQL_REF}, uniq as (select id as item_id, kmer, min(pos) as ref_pos from ({sql_kmers('ref', RECRUIT_K)}) group by all having count(*) = 1), h as (select k.id, item_id, ref_pos, pos, ref_pos - pos as diag from ({sql_kmers('reads', RECRUIT_K)}) k join uniq using (kmer))"
+
+
+def all_anchored(t) -> DataFrame:
+    """Anchors of all documents in each benchmark item."""
+    hits = K.anchors_each(reads(t), reference(t), RECRUIT_K).withColumnRenamed("ref", "item_id")
+    return hits.select("id", "item_id", *[F.col(x).cast("bigint").alias(x) for x in ("ref_pos", "pos", "diag")])
+
+
+@query("anchors_all", f"with {SQL_ANCHORS_ALL} select * from h")
+def _(t):
+    return all_anchored(t)
+
+
+@query("diagonal_filter_all", f"""
+with {SQL_ANCHORS_ALL}, f as (select *, coalesce((diag - lag(diag) over (partition by id, item_id order by diag) > 100)::int, 0) as new from h),
+i as (select id, item_id, ref_pos, pos, diag, sum(new) over (partition by id, item_id order by diag range between unbounded preceding and current row) as island from f),
+b as (select id, item_id, island from (select id, item_id, island, row_number() over (partition by id, item_id order by count(*) desc, island) as r from i group by id, item_id, island) where r = 1)
+select id, item_id, ref_pos, pos, diag from i join b using (id, item_id, island)""")
+def _(t):
+    return K.diagonal_filter(all_anchored(t), ["id", "item_id"])
+
+
+@query("repeat_kmer_filter_all", f"with {SQL_ANCHORS_ALL} select id, item_id, ref_pos, pos, diag from (select *, count(*) over (partition by id, item_id, ref_pos) as a, count(*) over (partition by id, item_id, pos) as b from h) where a = 1 and b = 1")
+def _(t):
+    return K.drop_repeats(all_anchored(t), ["id", "item_id"], either=True)
+
+
 # ---- joins and assignments --------------------------------------------------------------------------------------------------------
 
 

@@ -148,3 +148,16 @@ def test_nations_of_all_customers(spark, tmp_path):
         spark.createDataFrame([(n, c, 5.0) for n, c in rows], "c_nationkey int, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/{name}/customer.parquet")
         assert {x["node"] for x in registry.QUERIES["reachability_all"](spark, f"{tmp_path}/{name}").collect()} == {1, 2, 3}
         assert registry.QUERIES["has_cycle_all"](spark, f"{tmp_path}/{name}").first()["cyclic"] is cyclic
+
+
+def test_anchors_in_all_items(spark, tmp_path):
+    r = random.Random(5)
+    items = [(i, "".join(r.choice("ACGT") for _ in range(60))) for i in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(7, items[2][1][10:40]), (8, items[1][1] + items[0][1]), (9, "".join(r.choice("ACGT") for _ in range(60)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i, a, b) for d, s in docs for i, q in items for a in range(len(q) - 14) for b in range(len(s) - 14) if q[a : a + 15] == s[b : b + 15]}
+    assert {d[:2] for d in want} == {(7, 2), (8, 1), (8, 0)}
+    for name in ("anchors_all", "diagonal_filter_all", "repeat_kmer_filter_all", "longest_chain_all"):
+        got = registry.QUERIES[name](spark, str(tmp_path)).select("id", "item_id", "ref_pos", "pos").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want  # one diagonal and no repeats for each pair
