@@ -104,19 +104,34 @@ def _(t):
     return e.select("l_orderkey", "l_linenumber", S.is_indel("r", "a").alias("indel"), S.is_snp("r", "a").alias("snp"), S.is_double_snp("r", "a").alias("double_snp"), S.is_big_indel("r", "a").alias("big_indel"))
 
 
+def microsatellites(t, step: int) -> DataFrame:
+    """Stretches of four bases, one every ``step``, taken as indels between their neighbours: how many are microsatellite changes."""
+    d = t("documents").select("doc_id", S.dna("text").alias("s")).select("doc_id", "s", F.col("s").cast("binary").alias("b"))
+    d = d.where(F.length("s") >= 5).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.length("s") - 4, F.lit(step))).alias("p"))
+    cut = lambda a, n: F.substring(F.col("b"), a, n).cast("string")
+    low = F.greatest(F.col("p") - 12, F.lit(1))
+    e = d.select("doc_id", cut(low, F.col("p") - low).alias("l"), cut(F.col("p"), F.lit(4)).alias("x"), cut(F.col("p") + 4, F.lit(12)).alias("r"))
+    return e.groupBy("doc_id").agg(F.count_if(S.is_microsatellite("x", "l", "r", 4)).alias("n"))
+
+
 @query("microsatellite_indel", f"""
 with d as (select doc_id, {SQL_DNA} as s from documents),
 e as (select doc_id, p, substr(s, greatest(p - 12, 1), p - greatest(p - 12, 1)) as l, substr(s, p, 4) as x, substr(s, p + 4, 12) as r from (select doc_id, s, unnest(range(1, length(s) - 3, 5)) as p from d))
 select doc_id, count(*) filter (where (substr(x,1,1) = substr(x,2,1) and substr(x,1,1) = substr(x,3,1) and substr(x,1,1) = substr(x,4,1) and (suffix(l, substr(x,1,1)) or prefix(r, substr(x,1,1))))
   or (substr(x,1,2) = substr(x,3,2) and (suffix(l, substr(x,1,2)) or prefix(r, substr(x,1,2)))) or suffix(l, x) or prefix(r, x)) as n from e group by doc_id""")
 def _(t):
-    """Every fifth stretch of four bases, taken as an indel between its neighbours: how many are microsatellite changes."""
-    d = t("documents").select("doc_id", S.dna("text").alias("s")).select("doc_id", "s", F.col("s").cast("binary").alias("b"))
-    d = d.where(F.length("s") >= 5).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.length("s") - 4, F.lit(5))).alias("p"))
-    cut = lambda a, n: F.substring(F.col("b"), a, n).cast("string")
-    low = F.greatest(F.col("p") - 12, F.lit(1))
-    e = d.select("doc_id", cut(low, F.col("p") - low).alias("l"), cut(F.col("p"), F.lit(4)).alias("x"), cut(F.col("p") + 4, F.lit(12)).alias("r"))
-    return e.groupBy("doc_id").agg(F.count_if(S.is_microsatellite("x", "l", "r", 4)).alias("n"))
+    """Every fifth stretch of four bases."""
+    return microsatellites(t, 5)
+
+
+@query("microsatellite_indel_all", f"""
+with d as (select doc_id, {SQL_DNA} as s from documents),
+e as (select doc_id, p, substr(s, greatest(p - 12, 1), p - greatest(p - 12, 1)) as l, substr(s, p, 4) as x, substr(s, p + 4, 12) as r from (select doc_id, s, unnest(range(1, length(s) - 3)) as p from d))
+select doc_id, count(*) filter (where (substr(x,1,1) = substr(x,2,1) and substr(x,1,1) = substr(x,3,1) and substr(x,1,1) = substr(x,4,1) and (suffix(l, substr(x,1,1)) or prefix(r, substr(x,1,1))))
+  or (substr(x,1,2) = substr(x,3,2) and (suffix(l, substr(x,1,2)) or prefix(r, substr(x,1,2)))) or suffix(l, x) or prefix(r, x)) as n from e group by doc_id""")
+def _(t):
+    """As microsatellite_indel, with the stretch at every base."""
+    return microsatellites(t, 1)
 
 
 @query("morph_names", """

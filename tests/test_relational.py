@@ -161,3 +161,18 @@ def test_anchors_in_all_items(spark, tmp_path):
     for name in ("anchors_all", "diagonal_filter_all", "repeat_kmer_filter_all", "longest_chain_all"):
         got = registry.QUERIES[name](spark, str(tmp_path)).select("id", "item_id", "ref_pos", "pos").collect()
         assert len(got) == len(want) and set(map(tuple, got)) == want  # one diagonal and no repeats for each pair
+
+
+def test_microsatellites_at_every_base(spark, tmp_path):
+    r = random.Random(7)
+    docs = [(i, "".join(r.choice(("A", "C", "AC", "ACGT", "GG")) for _ in range(n))) for i, n in enumerate((0, 1, 3, 40, 90))] + [(9, "TACGACGT" + "AAAAA")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def found(s, p):
+        before, x, after = s[max(p - 12, 0) : p], s[p : p + 4], s[p + 4 : p + 16]
+        units = [x[:n] for n in (1, 2, 4) if x == x[:n] * (4 // n)]
+        return any(before.endswith(u) or after.startswith(u) for u in units)
+
+    bases = [(i, s.translate(str.maketrans(S.LETTERS, S.BASES))) for i, s in docs]
+    want = {i: sum(found(s, p) for p in range(len(s) - 4)) for i, s in bases if len(s) >= 5}
+    assert dict(map(tuple, registry.QUERIES["microsatellite_indel_all"](spark, str(tmp_path)).collect())) == want
