@@ -23,10 +23,13 @@ P = len(DIMS)
 QUANTUM = 1 / 1024
 #: 0.5 and 0.975 quantiles of chi-square with P = 4 degrees of freedom.
 CHI2_HALF, CHI2_975 = 3.3567, 11.1433
+#: What makes the scatter of the rows below the 0.975 quantile that of all rows, if these are normal.
+CONSISTENT = 1.0645
 #: Bins of the squared distance: 32 to the octave, from 2**-16 to 2**32.
 BINS_OCTAVE, LOW_OCTAVE, HIGH_OCTAVE = 32, -16, 32
-#: Squared distance from which a document is an outlier.
-CUTOFF = 120.0
+#: Squared distance from which a document is an outlier: the quantile of chi-square for one in a million. With the floors above, a share of a
+#: third of repeated words or lines is over it by itself in a source that has none.
+CUTOFF = 33.4
 #: Up to so many groups their estimates (some 200 bytes each) are broadcast; more are joined by group.
 BROADCAST_GROUPS = 50_000
 
@@ -95,11 +98,11 @@ def _moments() -> list[Column]:
 _SUMMED = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _PAIRS]]
 
 
-def _estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre ``m*``, inverse Cholesky factor ``l**`` and log determinant ``logdet`` of the floored covariance, from summed moments."""
+def _estimate(sums: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Centre ``m*``, inverse Cholesky factor ``l**`` and log determinant ``logdet`` of the floored covariance (times ``scale``), from summed moments."""
     floor = [FLOORS[d] ** 2 for d in DIMS]
     d = sums.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[f"q{i}{j}" for i, j in _PAIRS])
-    d = d.select(*keys, "n", *[f"m{i}" for i in range(P)], *[((F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS])
+    d = d.select(*keys, "n", *[f"m{i}" for i in range(P)], *[((F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (floor[i] if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS])
     for j in range(P):  # Cholesky: c = g g'
         d = d.withColumn(f"g{j}{j}", F.sqrt(F.greatest(reduce(lambda a, k: a - F.col(f"g{j}{k}") ** 2, range(j), F.col(f"c{j}{j}")), F.lit(1e-9))))
         d = d.withColumns({f"g{i}{j}": reduce(lambda a, k: a - F.col(f"g{i}{k}") * F.col(f"g{j}{k}"), range(j), F.col(f"c{i}{j}")) / F.col(f"g{j}{j}") for i in range(j + 1, P)})
@@ -152,7 +155,7 @@ def mcd(rows: DataFrame, steps: int = 4, few: bool = True) -> DataFrame:
     median = _half(near, ["g"]).select("g", (F.pow(F.lit(2.0), (F.col("b") + 0.5) / BINS_OCTAVE)).alias("median"))
     binned = near.join(median, "g").withColumn("scaled", F.pow(F.lit(2.0), F.col("b") / BINS_OCTAVE) * CHI2_HALF / F.greatest("median", F.lit(CHI2_HALF / 64)))
     kept = binned.where(f"scaled <= {CHI2_975}").groupBy("g").agg(*[F.sum(c).alias(c) for c in _SUMMED])
-    return materialize(_estimate(kept, ["g"]), "estimates")
+    return materialize(_estimate(kept, ["g"], CONSISTENT), "estimates")
 
 
 def _groups(sound: DataFrame, min_group: int) -> DataFrame:

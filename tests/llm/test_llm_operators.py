@@ -74,6 +74,20 @@ def test_quality_rejects_outliers(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 360))
 
 
+def test_quality_rejects_repetition_alone(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 8)))
+    good = [" ".join(word() for _ in range(r.randint(60, 300))) for _ in range(300)]
+    lines = ["\n".join(f"{w}\n" + " ".join(word() for _ in range(9)) for w in [word()] * 10) for _ in range(20)]  # 9 lines in 20 are copies
+    phrases = [" ".join(f"{p} " + " ".join(word() for _ in range(11)) for p in [" ".join(word() for _ in range(9))] * 5) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(good + lines + phrases)], "doc_id long, text string, lang string, source string")
+    rows = {x["doc_id"]: x for x in quality.quality_rules(df).collect()}
+    assert all(rows[i]["n_dup_lines"] == 9 and rows[i]["n_repeat_words"] == 0 for i in range(300, 320))
+    assert all(rows[i]["n_dup_lines"] == 0 and rows[i]["n_repeat_words"] == 45 for i in range(320, 340))
+    assert not any(x["base_failed"] for x in rows.values())
+    assert all(rows[i]["kept"] for i in range(300)) and not any(rows[i]["kept"] for i in range(300, 340))
+
+
 # ---- 2: language model -------------------------------------------------------------------------------------------------------------
 
 
