@@ -18,14 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from looploom.llm.text import table
-from looploom.llm.tokens import END_ID, Encoder
+from looploom.llm.tokens import END_ID, Encoder, batches as portions
 
 #: Vocabulary, and limits of a sequence: tokens, segments and loss-bearing tokens.
 VOCABULARY, TOKENS, SEGMENTS, LOSS = "word_bpe_49k.json", 4096, 256, 4096
 #: Pieces that wait in a partition to be placed.
 POOL = 512
-#: Batches of texts given to the vocabulary at once.
-BATCH_ROWS = 512
 
 
 @dataclass
@@ -183,7 +181,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int =
 
     Each id lies in exactly one piece (``doc_id``, ``start``, ``length``, ``ids``) of one sequence, at ``offset``. Sequences hold up to
     ``tokens`` ids, ``segments`` pieces and ``loss`` loss-bearing ids (all but the first of a piece); a partition's last sequences have
-    power-of-two lengths. Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows.
+    power-of-two lengths. Null and empty texts are the end id alone; very long texts are cut into as many pieces as they need; repeated
+    rows are packed each, and a row without a doc_id keeps none; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +190,9 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int =
 
         def examples():
             for b in batches:
-                for i in range(0, b.num_rows, BATCH_ROWS):
-                    part = b.slice(i, BATCH_ROWS)
-                    for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for s in portions(texts):
+                    for key, ids in zip(keys[s], encoder.encode(texts[s]), strict=True):
                         yield key, ids + end, None
 
         yield from packed(examples(), TaskContext.get().partitionId(), Packer(tokens, segments, loss))
@@ -205,7 +204,8 @@ def pack_conversations(turns: DataFrame, vocabulary: str = VOCABULARY, end_id: i
     """Instruction data: conversations (``conv_id``, ``turn``, ``role``, ``text``) packed whole, with loss on the assistant's ids only.
 
     The turns of a conversation are joined in order, each with ``end_id``; the result has the conversation in ``doc_id``. Null roles
-    bear no loss, null texts are the end id alone.
+    bear no loss, null texts are the end id alone; turns that repeat are all kept, in the order of their roles and texts; rows without a
+    conv_id are one conversation; other columns are ignored; an empty table gives no rows. The turns of one conversation meet in one task.
     """
     order = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     rows = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(order.alias("t")).select("doc_id", F.to_json(F.transform("t", lambda x: F.struct((F.coalesce(x.role, F.lit("")) == "assistant").alias("a"), x.text.alias("t")))).alias("turns"))
@@ -227,6 +227,16 @@ def pack_conversations(turns: DataFrame, vocabulary: str = VOCABULARY, end_id: i
     return rows.mapInArrow(run, COLUMNS)
 
 
+#: Limits of the query on conversations: sequences for tuning hold few conversations, and half their tokens may bear loss.
+CONVERSATION_SEGMENTS, CONVERSATION_LOSS = 16, 2048
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents; see :func:`pack_documents`."""
     return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op4_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all conversations, under limits on tokens, segments and loss-bearing tokens; see :func:`pack_conversations`."""
+    turns = table(spark, sf_dir, "conversations")
+    return pack_conversations(turns, segments=CONVERSATION_SEGMENTS, loss=CONVERSATION_LOSS).drop("ids").withColumnRenamed("doc_id", "conv_id")

@@ -22,5 +22,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def keep(key: tuple, make):
+    """What this process keeps between tasks under ``key``, made when it is first asked for. Workers serve one operator after another, so
+    what is kept for other keys is freed first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def free() -> None:
+    """Free what this process keeps for other operators."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

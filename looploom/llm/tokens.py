@@ -1,64 +1,188 @@
-"""Token ids of whole texts by the tokenizers library, remembered for each white-space chunk.
+"""Token ids of whole texts by the tokenizers library, remembered for white-space chunks and for the pre-tokens inside them.
 
-BPE of these vocabularies never joins what white space separates, so a text's ids are those of its chunks, one after another. A worker
-keeps the ids of the chunks it has met (up to a bound; frequent chunks come early) and asks the library for new ones only.
+BPE of these vocabularies never joins what white space separates, nor what their pre-tokenizers part. So a text's ids are those of its
+chunks (a word, with the white space before it where that counts), one after another, and a chunk's are those of its pre-tokens. A worker remembers both in two generations: what the younger one
+lacks is taken over from the older one, and when the younger is full it becomes the older. So what is in use stays, whenever it first
+came, and memory is bounded. Only pre-tokens that are in neither go to the library's model. Chunks with characters other than those of
+:data:`LATIN`, vocabularies with another pre-tokenizer, and texts with special tokens' strings or rare white space go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks that a worker remembers for each vocabulary.
-MEMO = 1_000_000
+from looploom.llm.text import keep
+
+#: Chunks and pre-tokens in a generation of a worker's memory, for each vocabulary.
+CHUNKS, PARTS = 200_000, 400_000
 END_ID = 2
+#: A batch of texts is closed at so many rows or characters, whichever comes first; a longer text is a batch alone.
+BATCH_ROWS, BATCH_CHARS = 1024, 3_000_000
+
+#: Rare white space, and what stands between chunks here: texts with such are given to the library whole.
+_OTHER_SPACE = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+
+# The pre-tokenizers of the two vocabulary files, with letters and digits narrowed to those of LATIN.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+LATIN = re.compile(rf"[\x20\x09-\x0D!-~¡§«»°¿‐-‧{LETTERS}]*")
+WORD_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+
+
+def batches(texts: list[str | None], rows: int = BATCH_ROWS, chars: int = BATCH_CHARS) -> Iterator[slice]:
+    """Slices of ``texts`` of up to ``rows`` texts and, but for a single longer text, ``chars`` characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and (i - start >= rows or size + n > chars):
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+def _strings(values: pa.Array, between: str) -> list[str]:
+    """An Arrow array as a list (``between`` is in none of the values), made by one split, which is much faster than a value at a time."""
+    if not len(values):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.string())), between)[0].as_py().split(between)
+
 
-#: White space other than space and U+0009 to U+000D: texts with such are given to the library whole.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: A word with one space before it; a run of white space but its last character before a word; any other run.
-_SPACED = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+class _Memo:
+    """Two generations of remembered values."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        """Begin a generation if the younger is full."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
 
 
 class Encoder:
     """``encode(texts)``: for each text the bytes of its ids as little-endian unsigned 32-bit integers. Null texts count as empty."""
 
-    _made: dict[str, Encoder] = {}
-
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # a vocabulary with word ends drops white space; a byte-level one keeps it
-        self.chunk = _WORDS if self.tokenizer.normalizer is not None else _SPACED
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special, self.folded = [t.content for t in added], any(t.normalized for t in added)
+        # a vocabulary with word ends drops white space and case; a byte-level one keeps them
+        self.drops_space = self.tokenizer.normalizer is not None
+        self.parts_of = self._parts_pattern()
+        self.letters = _byte_letters()
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.chunks, self.parts = _Memo(CHUNKS), _Memo(PARTS)
 
     @classmethod
     def of(cls, file: str) -> Encoder:
         """The encoder of this process for a vocabulary file (a name of the public collection, or a path)."""
-        if file not in cls._made:
-            cls._made[file] = cls(file)
-        return cls._made[file]
+        return keep(("encoder", file, CHUNKS, PARTS), lambda: cls(file))
+
+    def _parts_pattern(self) -> re.Pattern | None:
+        """How this vocabulary's pre-tokenizer parts a chunk, or None if it is not one of the known two."""
+        spec = json.loads(self.tokenizer.to_str())
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if model["type"] != "BPE" or model.get("unk_token") or model.get("byte_fallback"):
+            return None
+        if not self.drops_space and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]:
+            return BYTE_PARTS
+        steps = pre.get("pretokenizers", [])
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        if normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and not steps[1]["add_prefix_space"]:
+            return WORD_PARTS
+        return None
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token by the library's model."""
+        ids = self.parts.old.get(part)
+        if ids is None:
+            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        self.parts.young[part] = ids
+        return ids
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that the younger generation lacks."""
+        out, whole, old, known, ask = {}, [], self.chunks.old, self.parts.young, self._part
+        plain, split, lower = LATIN.fullmatch, self.parts_of and self.parts_of.findall, self.drops_space
+        for c in chunks:
+            ids = old.get(c)
+            if ids is None:
+                if split is None or not (c.isascii() or plain(c)):
+                    whole.append(c)
+                    continue
+                got = [known.get(p) or ask(p) for p in split(c.lower() if lower else c)]
+                ids = got[0] if len(got) == 1 else b"".join(got)
+            out[c] = ids
+        if whole:
+            out.update(zip(whole, self._ask(whole), strict=True))
+        self.parts.turn()
+        return out
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of each text."""
+        if self.drops_space:
+            return pc.ascii_split_whitespace(texts)
+        # a chunk begins before each run of white space
+        there = [c for c in " \n\t\r" if pc.any(pc.match_substring(texts, c)).as_py()]
+        for c in there:
+            texts = pc.replace_substring(texts, c, "\0" + c)
+        for c in there:
+            texts = pc.replace_substring(texts, c + "\0", c)
+        return pc.split_pattern(texts, "\0")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, odd, find = self.memo.get, _OTHER_SPACE.search, self.chunk.findall
-        split = [None if t and odd(t) else find(t) if t else [] for t in texts]
-        got = [None if c is None else list(map(get, c)) for c in split]
-        new = {c: b"" for chunks, ids in zip(split, got, strict=True) if ids and None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
-        if new:
-            new = dict(zip(new, self._ask(list(new)), strict=True))
-            if len(self.memo) + len(new) <= MEMO:
-                self.memo.update(new)
-            for chunks, ids in zip(split, got, strict=True):
-                if ids and None in ids:
-                    ids[:] = [new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-        whole = iter(self._ask([t for t, c in zip(texts, split, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(c) for c in got]
+        return [x for s in batches(texts) for x in self._encode(texts[s])]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if t and (_OTHER_SPACE.search(t) or self.folded or any(s in t for s in self.special))]
+        given = ["" if t is None else t for t in texts]
+        for i in odd:
+            given[i] = ""
+        lists = self._split(pa.array(given, pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        ids = self._ids(_strings(chunks.dictionary, " " if self.drops_space else "\0"))
+        size, flat = np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+        start, at = np.cumsum(size) - size, chunks.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        out = flat[np.arange(n.sum()) + np.repeat(start[at] - ends + n, n)].tobytes()
+        cuts = (4 * np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        done = [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, x in zip(odd, self._ask([texts[i] for i in odd]), strict=True):
+            done[i] = x
+        return done
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, most of them different."""
+        ids = list(map(self.chunks.young.get, chunks))
+        if None in ids:
+            new = self._new([c for c, x in zip(chunks, ids, strict=True) if x is None])
+            ids = [new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+            self.chunks.young.update(new)
+            self.chunks.turn()
+        return ids

@@ -5,7 +5,7 @@ parted by that bit (Claude and Navarro, "The wavelet matrix", 2012). Rank counts
 the places of an id without decoding the others.
 
 File format (all integers little-endian): the magic ``LWM1``, the header's length (uint32), a JSON header (``n`` ids, ``levels``, ``zeros``
-of each plane, ``docs``, and the stored and raw length of each section), then the sections, each a zstandard frame: doc ids (int64), lengths
+of each plane, ``docs``, ``nulls`` (how many of the first documents have no doc id), and the stored and raw length of each section), then the sections, each a zstandard frame: doc ids (int64), lengths
 (int64), and for each plane its bits (most significant bit of a byte first) and its ranks before each 512 bits (uint32).
 """
 
@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from looploom.llm.text import table
-from looploom.llm.tokens import END_ID, Encoder
+from looploom.llm.tokens import END_ID, Encoder, batches as portions
 from looploom.tables import materialize, new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A shard is closed at the document that brings it to so many ids; a longer document is a shard alone.
 SHARD_IDS = 1 << 20
-BATCH_ROWS = 512
 MAGIC, BLOCK = b"LWM1", 512
 
 
@@ -37,8 +36,8 @@ def _partition(ids: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return np.concatenate([ids[~bit], ids[bit]])
 
 
-def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of the documents' ids, given one after another."""
+def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """The file of the documents' ids, given one after another; the first ``nulls`` documents have no doc id."""
     levels = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     pack = zstandard.ZstdCompressor(level=1).compress
     raw = [doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes()]
@@ -54,7 +53,7 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> b
         if k < levels - 1:
             at = _partition(at, bit)
     stored = [pack(x) for x in raw]
-    head = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "docs": len(doc_ids), "stored": [*map(len, stored)], "raw": [*map(len, raw)]}).encode()
+    head = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "docs": len(doc_ids), "nulls": nulls, "stored": [*map(len, stored)], "raw": [*map(len, raw)]}).encode()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *stored])
 
 
@@ -66,7 +65,7 @@ class Shard:
             raise ValueError("not a wavelet shard")
         size = int.from_bytes(data[4:8], "little")
         head = json.loads(data[8 : 8 + size])
-        self.n, self.levels, self.zeros = head["n"], head["levels"], head["zeros"]
+        self.n, self.levels, self.zeros, self.nulls = head["n"], head["levels"], head["zeros"], head["nulls"]
         ends = np.cumsum([8 + size, *head["stored"]])
         self._parts = [(data[a:b], r) for a, b, r in zip(ends, ends[1:], head["raw"], strict=False)]
         self._open: dict[int, bytes] = {}
@@ -158,7 +157,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
 
     Documents are range-partitioned by doc_id, so each task writes its own shards one after another; a task that runs again writes the
     same files under the same names, each moved into place when whole. Null texts count as empty; equal doc_ids stand together; rows
-    without a doc_id come first; an empty table writes nothing.
+    without a doc_id come first and are read back without one; a text longer than a shard is a shard alone; an empty table writes nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +170,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             nonlocal keys, texts, n
             name = f"{part:06d}-{len(out):06d}.wm"
             ids = np.frombuffer(b"".join(texts), "<u4")
-            data = encode_shard(np.array([-1 if k is None else k for k in keys]), np.array([len(t) // 4 for t in texts]), ids)
+            nulls = keys.count(None)  # they come first
+            data = encode_shard(np.array([0] * nulls + keys[nulls:]), np.array([len(t) // 4 for t in texts]), ids, nulls)
             draft = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(draft) as f:
                 f.write(data)
@@ -181,9 +181,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             keys, texts, n = [], [], 0
 
         for b in batches:
-            for i in range(0, b.num_rows, BATCH_ROWS):
-                rows = b.slice(i, BATCH_ROWS)
-                for key, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+            ids_of, texts_of = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for part_ in portions(texts_of):
+                for key, ids in zip(ids_of[part_], encoder.encode(texts_of[part_]), strict=True):
                     keys.append(key)
                     texts.append(ids + end)
                     n += len(texts[-1]) // 4
@@ -210,11 +210,14 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                 cut = [ids[4 * int(e - n) : 4 * int(e)] for e, n in zip(ends, s.lengths, strict=True)]
                 for i in range(0, len(cut), 2048):
                     part = cut[i : i + 2048]
-                    cols = [pa.array([name] * len(part)), *[pa.array(c[i : i + 2048]) for c in (s.doc_ids, ends - s.lengths, s.lengths)], pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array(part if with_ids else [None] * len(part), pa.binary())]
+                    known = pa.array(s.doc_ids[i : i + 2048], mask=np.arange(i, i + len(part)) < s.nulls)
+                    cols = [pa.array([name] * len(part)), known, *[pa.array(c[i : i + 2048]) for c in (ends - s.lengths, s.lengths)], pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array(part if with_ids else [None] * len(part), pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-    order = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)
-    before = manifest.select("shard", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
+    # ids before each part (as many rows as the writer had tasks), then before each shard of a part
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(W.orderBy("part")).alias("base"))
+    before = manifest.select("shard", "part", earlier(W.partitionBy("part").orderBy("number")).alias("inside")).join(parts, "part").select("shard", (F.col("base") + F.col("inside")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
     rows = files.mapInArrow(run, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
