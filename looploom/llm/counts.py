@@ -7,6 +7,7 @@ it; the node where a pre-token ends gives its count. A worker keeps its trie bet
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from looploom.llm.text import WORD_RE, table
+from looploom.llm.text import WORD_RE, keep, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -26,6 +27,17 @@ UNKNOWN = 10.0
 UNREACHABLE = -1e8
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Unigram log-probabilities of pieces whose scores are negative ranks (0, -1, -2, ..., as in files of merges), by Zipf's law: the
+    probability of rank r is 1 / (r + 1) over the sum of these. Scores that are no ranks, as in files of unigrams, are log-probabilities
+    already. Pieces that no text may yield keep their scores."""
+    usual = {p: s for p, s in scores.items() if s > UNREACHABLE}
+    if not usual or any(s > 0 or s != int(s) for s in usual.values()):
+        return scores
+    total = math.log(sum(1 / (1 - s) for s in usual.values()))
+    return {p: -math.log(1 - s) - total if s > UNREACHABLE else s for p, s in scores.items()}
+
+
 class Trie:
     """Forward scores and piece counts of prefixes.
 
@@ -33,8 +45,6 @@ class Trie:
     piece's; of equal scores the one of fewer pieces wins.
     """
 
-    _made: dict[str, Trie] = {}
-
     def __init__(self, pieces: dict[str, float], nodes: int = NODES):
         self.pieces, self.most = pieces, nodes
         self.longest = max(map(len, pieces), default=1)
@@ -53,14 +63,16 @@ class Trie:
     @classmethod
     def of(cls, file: str) -> Trie:
         """The trie of this process for a vocabulary file (a name of the public collection, or a path)."""
-        if file not in cls._made:
+
+        def made() -> Trie:
             import public_tokenizers
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=file if os.path.isabs(file) else public_tokenizers.path(file))
             usual = (i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i)))
-            cls._made[file] = cls({sp.id_to_piece(i): sp.get_score(i) for i in usual})
-        return cls._made[file]
+            return cls(log_probabilities({sp.id_to_piece(i): sp.get_score(i) for i in usual}))
+
+        return keep(("trie", file), made)
 
     def insert(self, token: str) -> int:
         """The number of tokens of a pre-token."""
@@ -87,10 +99,10 @@ class Trie:
 
     def count_texts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Words and tokens of each text."""
-        if len(self.score) > self.most or len(self.terminal) > self.most:
-            self.clear()
         words, tokens = [], []
         for t in texts:
+            if len(self.score) > self.most or len(self.terminal) > self.most:
+                self.clear()
             w = WORD_RE.findall(t) if t else []
             got = list(map(self.terminal.get, [SPACE + x for x in w]))
             if None in got:
@@ -106,8 +118,9 @@ class Trie:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(``doc_id``, ``n_words``, ``n_tokens``) of each row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
-    Tokens are those of the segmentation of each word, space mark in front, with the highest sum of the vocabulary's scores. Null and empty
-    texts have none; equal texts count alike; whole texts are counted, whatever their length.
+    Tokens are those of the segmentation of each word, space mark in front, with the highest sum of log-probabilities (see
+    :func:`log_probabilities`). Null and empty texts have none; rows without a doc_id and repeated rows are counted like any other; equal
+    texts count alike; whole texts are counted, whatever their length; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from looploom.llm.cells import candidate_pairs, divided, least_member, runs
-from looploom.llm.text import table
+from looploom.llm.text import free, table
 from looploom.operators.components import connected_components
 from looploom.tables import materialize
 
@@ -88,6 +88,7 @@ def hashes(classes: DataFrame, tables: int, width: float, radius: float, seed: i
     """(``cell``, ``own``, ``tab``, ``id``) for each table and each own or probed cell of the vectors (``id``, ``label``, ``embedding``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         steps = shortest()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -168,15 +169,18 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int =
 
     Vectors are linked where labels are equal and not null, lengths are equal, and the cosine (double precision) is at least ``cosine``.
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest vec_id that links reach, ``kept`` marks
-    it. Vectors that are null, empty or zero, or hold nulls or non-finite numbers, and rows with a null label link with nothing. Equal
-    vectors of a label are one class and are never compared with each other. No verified link is wrong; a true link is missed only if no table finds
-    it (see the README for measured recall). An empty table gives an empty one.
+    it (and, of vectors without an id, those in whose component none has one). Vectors that are null, empty or zero, or hold nulls or
+    non-finite numbers, and rows with a null label link with nothing. Equal vectors of a label are one class, known by a key of its own, so
+    rows without a vec_id and different vectors that share one are told apart; members of a class are never compared with each other. No
+    verified link is wrong; a true link is missed only if no table finds it (see the README for measured recall). Very long vectors are
+    read whole; other columns are ignored; an empty table gives an empty one.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = materialize(v.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
+    grouped = v.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
+    classes = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")  # written once, so the keys are fixed
     rows = materialize(hashes(classes, tables, width, radius, seed), "cells")
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").select("cell", "n")
     tasks = divided(rows, sizes, CELL_ROWS).join(classes, "id").repartition("task").sortWithinPartitions("task", "cell")
@@ -184,11 +188,14 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int =
     found = materialize(found, "links")
     joined = connected_components(found, "id", "least")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    members = classes.select("id", "vec").join(joined.withColumnRenamed("node", "id"), "id")
+    least = members.groupBy("component").agg(F.min("vec").alias("component_id"))
+    moved = materialize(members.join(least, "component").select("id", "component_id", F.lit(True).alias("linked")), "moved")
+    named = classes.join(links, "id", "left").join(moved, "id", "left")
+    named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec")).alias("component_id"))
     linked = v.where("sound").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = v.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from looploom.llm.text import WORD_RE, table, words
+from looploom.llm.text import WORD_RE, free, table, words
 from looploom.tables import materialize
 
 #: Least numbers of classes of the softmax and tokens in each; words that stand for themselves; the rest are endings. One row more is the edge of a text.
@@ -283,6 +283,7 @@ def fit(docs: DataFrame, rounds: tuple[float, ...] = ROUNDS, share: int = SHARE,
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            free()
             local = Model(list(shared.value.own), {k: v.copy() for k, v in shared.value.w.items()})
             trainer = Trainer(local, rate)
             for b in batches:
@@ -314,6 +315,7 @@ def score_lm(docs: DataFrame, model: Model) -> DataFrame:
     joined = model.known is None and model.counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         m = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 256):

@@ -22,6 +22,8 @@ ENTROPY_SHARE, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.97, 4.0, 1 << 18, 7
 EXPONENT_BITS, BITS_A_ROUND = 30, 6
 #: Up to so many sources (some 100 bytes each) their plan is broadcast; more are joined by source.
 BROADCAST_SOURCES = 100_000
+#: A source's ranks are first summed in 2**STRETCH_BITS stretches.
+STRETCH_BITS = 12
 
 
 def _hash(*parts: Column) -> Column:
@@ -71,6 +73,14 @@ def temperature(sources: DataFrame, budget: float | None, entropy_share: float |
     return k / top, budget
 
 
+def _ends(parts: DataFrame, *order: str) -> DataFrame:
+    """Of each ``src``, the first of its ``parts`` (``t`` tokens each, in this order) that does not fit whole in ``left`` tokens, with
+    ``left`` less by what stands before it. No row for a source whose parts all fit."""
+    w = W.partitionBy("src").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    over = parts.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).where("before <= left and before + t > left")
+    return over.withColumn("left", F.col("left") - F.col("before")).drop("before")
+
+
 def mix_sources(docs: DataFrame, columns: list[str] | None = None, budget: float | None = None, entropy_share: float | None = ENTROPY_SHARE, max_epochs: float | None = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """``docs`` (its ``columns``, or all) repeated or left out so that sources have target weights, with ``epoch``, ``block``, ``place``,
     ``n_tokens``, ``exponent`` and ``weight``: one row for each time that a document is read.
@@ -78,13 +88,14 @@ def mix_sources(docs: DataFrame, columns: list[str] | None = None, budget: float
     ``n_tokens`` is the number of words. ``budget`` is the sum of tokens to draw (default: as many as there are). Reading a source's rows by
     (``epoch``, ``place``) gives its block permutations. The last epoch of a source takes documents in that order while they fit its
     budget. A null source is a source; null and empty texts have no tokens and go with the documents of their block; a source without tokens
-    has weight 0 and is left out; equal rows share a place and are kept or left out together; an empty table gives an empty one. Columns of
-    ``docs`` named like a new one are replaced. ``docs`` needs doc_id, text and source.
+    has weight 0 and is left out; equal rows share a place and are kept or left out together, as do all rows without a doc_id of a source;
+    very long texts are counted whole and may exceed a block; an empty table gives an empty one. Columns of ``docs`` named like a new one
+    are replaced. ``docs`` needs doc_id, text and source.
     """
     new = ["epoch", "block", "place", "n_tokens", "exponent", "weight"]
     carry = [c for c in (columns or docs.columns) if c not in new]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.to_json(F.struct(F.col("source").cast("string").alias("source"))).alias("src"), n_words(F.col("text")).alias("n_tokens"), _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    rows = materialize(rows, "sized")
+    sized = [F.to_json(F.struct(F.col("source").cast("string").alias("source"))).alias("src"), n_words(F.col("text")).alias("n_tokens"), _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")]
+    rows = materialize(docs.select(*sized), "sized")
     sources = materialize(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
     exponent, budget = temperature(sources, budget, entropy_share, max_epochs)
     largest, n_sources = sources.agg(F.max("tokens"), F.count("*")).first()
@@ -101,17 +112,19 @@ def mix_sources(docs: DataFrame, columns: list[str] | None = None, budget: float
 
     placed = rows.join(hint(plan), "src").withColumn("block", F.col("h") % F.col("n_blocks"))
     placed = placed.withColumn("rank", rank(F.col("whole"), F.col("block")))
-    blocks = placed.groupBy("src", "block", "rank", "rest").agg(F.sum("n_tokens").alias("t"))
-    order = W.partitionBy("src").orderBy("rank", "block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0)))
-    # the block in which the budget ends: the first that does not fit whole
-    cut = blocks.where("before <= rest and before + t > rest").groupBy("src").agg(F.min(F.struct("rank", "block", (F.col("rest") - F.col("before")).alias("left"))).alias("c")).select("src", F.col("c.rank").alias("cut_rank"), F.col("c.block").alias("cut_block"), F.col("c.left").alias("left"))
+    blocks = materialize(placed.groupBy("src", "block", "rank", "rest").agg(F.sum("n_tokens").alias("t")), "blocks")
+    # the stretch of ranks in which the budget ends, then the block in that stretch: a source's blocks are never ordered in one task
+    stretch = (F.col("rank") / F.lit(float(1 << 60 - STRETCH_BITS))).cast("int").alias("stretch")
+    wide = _ends(blocks.groupBy("src", stretch, F.col("rest").alias("left")).agg(F.sum("t").alias("t")), "stretch").select("src", "stretch", "left")
+    inner = blocks.select("src", "block", "rank", "t", stretch).join(wide, ["src", "stretch"])
+    cut = _ends(inner, "rank", "block").select("src", F.col("rank").alias("cut_rank"), F.col("block").alias("cut_block"), "left")
     cut = materialize(cut, "cuts")
     inside = placed.join(hint(cut), "src").where("block = cut_block").groupBy("src", "h", "left").agg(F.sum("n_tokens").alias("t"))
     last = W.partitionBy("src").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = inside.withColumn("upto", F.sum("t").over(last)).where("upto > left").groupBy("src").agg(F.min("h").alias("cut_h"))
     plan = materialize(plan.join(cut, "src", "left").join(ends, "src", "left"), "plan")
-    placed = rows.join(hint(plan), "src").withColumn("block", F.col("h") % F.col("n_blocks")).withColumn("rank", rank(F.col("whole"), F.col("block")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), *sized)  # read again: texts stand in no table of this operator
+    placed = whole.join(hint(plan), "src").withColumn("block", F.col("h") % F.col("n_blocks")).withColumn("rank", rank(F.col("whole"), F.col("block")))
     before_cut = F.when(F.col("cut_block").isNull(), F.col("rest") > 0).otherwise((F.struct("rank", "block") < F.struct("cut_rank", "cut_block")) | (F.col("block") == F.col("cut_block")) & (F.col("h") < F.coalesce("cut_h", F.lit(1 << 60))))
     times = F.col("whole") + F.when(before_cut, 1).otherwise(0)
     drawn = placed.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))

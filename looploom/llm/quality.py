@@ -158,37 +158,25 @@ def mcd(rows: DataFrame, steps: int = 4, few: bool = True) -> DataFrame:
     return materialize(_estimate(kept, ["g"], CONSISTENT), "estimates")
 
 
-def _groups(sound: DataFrame, min_group: int) -> DataFrame:
-    """(``pair``, ``g``): the group whose estimate judges a language and source. Pairs of under ``min_group`` rows are pooled by language,
-    and pools that are still smaller are pooled in one."""
-    pairs = sound.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < min_group)
-    pairs = pairs.withColumn("pool", F.sum("n").over(W.partitionBy("lang", "small")))
-    own, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    return pairs.select(own.alias("pair"), F.when(~F.col("small"), own).when(F.col("pool") >= min_group, lang).otherwise("rest").alias("g"))
-
-
-def quality_rules(docs: DataFrame, columns: list[str] | None = None, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, columns: list[str] | None = None, cutoff: float = CUTOFF, steps: int = 4) -> DataFrame:
     """``docs`` (its ``columns``, or all) with the base statistics, ``base_failed``, ``distance`` (squared, robust) and ``kept``.
 
     Base rules reject texts under 50 words and texts more than half of whose words stand in repeated 3-word windows. The others are
-    judged by the MCD estimate of their group (language and source; rare pairs are pooled, see :func:`_groups`; null languages and
-    sources count as values of their own). ``kept`` is false for a squared distance over ``cutoff``, which lies far outside the bulk of
-    any group, and where a base rule fails; ``distance`` is null for the latter. Null texts count as empty and fail; equal texts of one
-    group get equal verdicts; columns of ``docs`` named like a new one are replaced; an empty table gives an empty one. ``docs`` needs
-    ``text``, ``lang`` and ``source``.
+    judged by the MCD estimate of their group (language and source, however few documents it has; null languages and sources count as
+    values of their own). ``kept`` is false for a squared distance over ``cutoff``, which lies far outside the bulk of any group, and where
+    a base rule fails; ``distance`` is null for the latter. Null texts count as empty and fail; very long texts are read whole; repeated
+    rows are judged each, and equal texts of one group get equal verdicts; doc_ids may be null; columns of ``docs`` named like a new one are
+    replaced; an empty table gives an empty one. ``docs`` needs ``text``, ``lang`` and ``source``.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     carry = [c for c in (columns or docs.columns) if c not in {*new, "base_failed", "distance", "kept"}]
-    stats = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), base_statistics(F.col("text")).alias("s")).select("doc", "lang", "source", "s.*")
+    pair = F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
+    stats = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), pair.alias("g"), base_statistics(F.col("text")).alias("s")).select("doc", "g", "s.*")
     stats = materialize(stats.select("*", base_failed().alias("base_failed"), *vector()), "statistics")
-    sound = stats.where("not base_failed")
-    groups = materialize(_groups(sound, min_group), "groups")
-    small = groups.count() <= BROADCAST_GROUPS
-    groups = F.broadcast(groups) if small else groups
-    named = stats.withColumn("pair", F.to_json(F.struct("lang", "source"))).join(groups, "pair", "left")
-    rows = materialize(named.where("not base_failed").select("g", *DIMS), "vectors")
+    rows = stats.where("not base_failed").select("g", *DIMS)
+    small = rows.select("g").distinct().count() <= BROADCAST_GROUPS
     est = mcd(rows, steps, small)
-    judged = named.join(F.broadcast(est) if small else est, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = stats.join(F.broadcast(est) if small else est, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select("doc.*", *new, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
 
 

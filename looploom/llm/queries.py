@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pseudo_likelihood": lm.op2_pseudo_likelihood,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op4_packing_conversations": packing.op4_packing_conversations,
     "op5_lattice": lattice.op5_lattice,
     "op6_token_counts": counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from looploom.llm.cells import candidate_pairs, divided, least_member, runs
-from looploom.llm.text import WORD_RE, table
+from looploom.llm.text import WORD_RE, free, table
 from looploom.operators.components import connected_components
 from looploom.tables import materialize
 
@@ -48,15 +48,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(``doc_id``, ``fp``): the fingerprint of each row's ``text`` as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(``doc_id``, ``fp`` and the long columns ``carry``): the fingerprint of each row's ``text`` as a signed long."""
+    names = ["doc_id", *carry, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(0)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("text").cast("string"), *[F.col(c).cast("long") for c in names[:-1]]).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 _ODD = 0x5555555555555555
@@ -121,22 +123,41 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return tasks.select("task", "cell", "own", "id", "side").mapInArrow(_linker(max_bits), "src long, dst long").distinct()
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(``doc_id``, ``fp``, ``component_id``) for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
+def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(``doc_id``, ``fp``, ``component_id``, ``root`` and the long columns ``carry``) for every row of ``docs`` (``doc_id``, ``text``).
 
     Texts (A-Z lower-cased) are linked where their fingerprints differ in at most ``max_bits`` bits; ``component_id`` is the smallest
-    doc_id that links reach. Equal fingerprints are one class before any comparison, so copies cost nothing. Null and empty texts
-    have fingerprint 0 and are linked to each other; texts under ``shingle`` words are one shingle. An empty table gives an empty one.
+    doc_id that links reach (null where no member has one), ``root`` the smallest fingerprint. Equal fingerprints are one class before
+    any comparison, so copies cost nothing. Null and empty texts have fingerprint 0 and are linked to each other; texts under ``shingle``
+    words are one shingle; very long texts are read whole; repeated rows and rows without a doc_id are members like any other. Other
+    columns are ignored; an empty table gives an empty one.
     """
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+    fps = materialize(fingerprints(docs, shingle, carry), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = near_links(classes, max_bits)
     joined = connected_components(links)
     members = classes.join(joined.withColumnRenamed("node", "fp"), "fp")
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = materialize(members.join(least, "component").select("fp", "component_id"), "moved")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    moved = materialize(members.join(least, "component").select("fp", F.col("component").alias("root"), "component_id"), "moved")
+    named = classes.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component of :func:`simhash_components`: the one with the smallest doc_id.
+
+    A row is known by a 128-bit hash of all its columns, so rows without a doc_id and different rows that share one are told apart. Of
+    rows of the smallest doc_id the one with the smallest hash stays, once if the whole row repeats; a row without a doc_id stays where
+    no member has one. Rows are shuffled and sorted once, by that hash. An empty table gives an empty one.
+    """
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    key = [F.xxhash64(F.lit(k), F.col("text"), rest).alias(f"k{k}") for k in (0, 1)]
+    found = simhash_components(docs.select("doc_id", "text", *key), shingle, max_bits, ("k0", "k1"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")).alias("m"))
+    first = materialize(first.select("m.k0", "m.k1"), "first")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key).join(first.hint("merge"), ["k0", "k1"], "left_semi")
+    again = F.row_number().over(W.partitionBy("k0", "k1").orderBy("k0"))  # both in the order that the join has made
+    return rows.withColumn("again", again).where("again = 1").select("doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

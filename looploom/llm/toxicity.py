@@ -15,13 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from looploom.llm.text import WORD_RE, table
+from looploom.llm.text import WORD_RE, keep, table
+from looploom.tables import materialize
 
 WINDOW, STEP = 32, 16
 #: Most labelled rows of each class that the classifier is fitted on, taken in the order of a hash.
 SAMPLE_ROWS = 2000
+#: Most characters of a class in that sample; texts beyond them (in the same order) are left out of the fit.
+SAMPLE_CHARS = 64_000_000
 #: Words that a worker remembers, words of the vocabulary, and windows scored at once.
 REMEMBERED, VOCABULARY, BATCH_WINDOWS = 200_000, 20_000, 4096
 #: Share of a batch with label 1.
@@ -309,7 +312,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """A network fitted to ``labels`` (``doc_id``, ``toxic``) of ``docs`` (``doc_id``, ``text``), or None without rows of both labels.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Up to ``sample_rows`` rows a class, the first by a hash of doc_id, are taken
-    from ``labels`` before the texts are joined, so what reaches the driver is bounded.
+    from ``labels`` before the texts are joined, and of these as many as have ``SAMPLE_CHARS`` characters together, so what reaches the
+    driver is bounded. Rows without a doc_id, a label or a text teach nothing; repeated rows teach each.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     count = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
@@ -317,7 +321,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         return None
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
     chosen = known.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows).unionByName(known.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    rows = materialize(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("chars"), order.alias("place")), "sample")
+    upto = F.sum("chars").over(W.partitionBy("toxic").orderBy("place", "doc_id"))  # over the sample alone
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "toxic", "text").collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     y = np.array([r["toxic"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -325,9 +331,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     return train([r["text"] for r in rows], y, count[1] / (count[0] + count[1]), seed=seed)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with ``score`` (double, 0 to 1) and ``predicted`` (1 from 0.5). Only ``text`` is read for them.
 
@@ -343,10 +346,7 @@ def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
     def score(texts):
         import pandas as pd
 
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(shared.value)
-        s, out, part, size = _scorers[name], [], [], 0
+        s, out, part, size = keep(("toxicity", name), lambda: Scorer(shared.value)), [], [], 0
         for t in texts:
             part.append(t)
             size += len(t or "")

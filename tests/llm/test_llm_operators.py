@@ -88,6 +88,18 @@ def test_quality_rejects_repetition_alone(spark):
     assert all(rows[i]["kept"] for i in range(300)) and not any(rows[i]["kept"] for i in range(300, 340))
 
 
+def test_quality_estimates_every_group(spark):
+    """Groups of a few documents are judged by estimates of their own: what is usual in one is an outlier in the other."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    plain = lambda: " ".join(word() for _ in range(100))
+    marked = lambda: " ".join(word() + "%%" for _ in range(100))
+    rows = [("en", "a", plain()) for _ in range(12)] + [("en", "b", marked()) for _ in range(12)] + [(None, None, plain())] + [("en", "a", marked()), ("en", "b", plain())]
+    df = spark.createDataFrame([(None if i == 3 else i, t, x, s) for i, (x, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = quality.quality_rules(df).collect()
+    assert len(got) == 27 and sorted(x["doc_id"] for x in got if not x["kept"]) == [25, 26]
+
+
 # ---- 2: language model -------------------------------------------------------------------------------------------------------------
 
 
@@ -297,13 +309,17 @@ def test_encoder_is_the_library(file, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
+    r = random.Random(6)
+    parts = ["a", "Bé", "12", "x's", "!?", "日本", "ª²½", "İ", "…", " ", "  ", "\n", "\t", "\r\n", " \n", "\n\n", "   ", "\t ", "\x0b", "\0"]
+    mixed = ["".join(r.choice(parts) for _ in range(30)) for _ in range(300)]
     odd = ["a  b\n\n c", "x\xa0y \xa0\n\nz", "'s it's 's don't", "", "  lead", "trail  ", "\t\tq\r\n\r\nw", "é e\u0301 \u0301x", "<|endoftext|> a<|endoftext|>", "日本語 テスト  🙂", "a\x1c b\x1cc", "a\u2028b", None]
     for most in (10**6, 20):
-        monkeypatch.setattr(tokens, "MEMO", most)
+        monkeypatch.setattr(tokens, "CHUNKS", most)
+        monkeypatch.setattr(tokens, "PARTS", most)
         e = tokens.Encoder(file)
+        assert e.parts_of is not None
         for _ in range(2):
-            both = [*odd, *texts()]
+            both = [*odd, *mixed, *texts()]
             assert e.encode(both) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in both]
 
 
@@ -368,6 +384,13 @@ def test_token_counts(docs, none):
     assert small.count_texts(texts()) == t.count_texts(texts())
 
 
+def test_scores_of_ranks_are_log_probabilities():
+    p = counts.Trie.of(counts.VOCABULARY).pieces
+    usual = [s for s in p.values() if s > counts.UNREACHABLE]
+    assert math.isclose(sum(map(math.exp, usual)), 1, rel_tol=1e-6) and max(usual) < 0
+    assert counts.log_probabilities({"a": -1.5, "b": -0.25}) == {"a": -1.5, "b": -0.25}
+
+
 def test_trie_shares_prefixes():
     t = counts.Trie({"a": -1.0, "ab": -1.5, "b": -1.0, "c": -3.0, "bc": -1.0})
     assert (t.insert("ab"), t.insert("abc"), t.insert("abd")) == (1, 2, 2) and len(t.score) == 5
@@ -529,3 +552,112 @@ def test_bloom_has_no_false_negatives(spark):
     listed = pages.where("page_id % 3 = 0").select(urls.canonical(pages["url"]).alias("canonical"))
     for bits in (1, 16):
         assert urls.filter_urls(pages, listed, bits_per_key=bits).where("verdict = 'block'").selectExpr("count(*)", "sum(page_id % 3)").first() == (1000, 0)
+
+
+def test_one_of_each_loses_no_document(spark):
+    far = ["alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue black " * 9, "north south east west " * 9]
+    rows = [(None, far[0]), (None, far[1]), (7, far[2]), (7, far[3]), (9, far[2]), (None, far[3]), (12, "uno dos tres"), (12, "uno dos tres")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, k0 string, root int, again int").repartition(3)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in got.collect())
+    assert kept == sorted([(0, far[0]), (0, far[1]), (7, far[2]), (7, far[3]), (12, "uno dos tres")])
+    assert simhash.one_of_each(df.where("false")).count() == 0
+
+
+def test_embeddings_without_ids_and_with_shared_ids(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, x, 0), (1, y, 0), (2, x, 0), (3, [0.01, 1.0], 0), (None, [1.0, 0.01], 0), (None, [-1.0, 0.0], 0), (None, None, 0), (7, [0.0, -1.0], None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label long, id string")
+    got = sorted((tuple(r) for r in lattice.embedding_duplicates(df).collect()), key=str)
+    want = [(1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (1, 1, 1, True), (3, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_urls_keep_all_columns(spark, monkeypatch):
+    long = "http://h.org/" + "x" * 100_000
+    df = spark.createDataFrame([(1, "http://h.org/p", "a", "b", 5), (None, long, "a", "b", 6), (3, None, None, None, 7)], "page_id long, url string, __said string, `__block` string, page int")
+    listed = spark.createDataFrame([("h.org/p",), (long[7:],)], "canonical string")
+    for most in (urls.BROADCAST_BLOCKS, 0):  # sent to the workers, or joined
+        monkeypatch.setattr(urls, "BROADCAST_BLOCKS", most)
+        got = urls.filter_urls(df, listed)
+        assert got.columns[:5] == df.columns
+        assert sorted((r["page"], r["__said"], r["verdict"]) for r in got.collect()) == [(5, "a", "block"), (6, "a", "block"), (7, None, "allow")]
+
+
+def test_wavelet_keeps_null_ids(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a b"), (-1, "c"), (None, None), (4, "long " * 3000)], "doc_id long, text string")
+    manifest = wavelet.write_shards(df, str(tmp_path / "s"), shard_ids=50)
+    rows = wavelet.read_shards(spark, str(tmp_path / "s"), manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, None, -1, 4] and rows[3]["n_tokens"] > 3000
+
+
+def test_conversation_limits_bind(spark):
+    r = random.Random(2)
+    rows = [(c, t, ("user", "assistant")[t % 2], " ".join(["the"] * r.randint(1, 60))) for c in range(120) for t in range(r.randint(1, 6))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2)
+    got = packing.pack_conversations(df, tokens=256, segments=3, loss=60).collect()
+    sums = collections.defaultdict(lambda: [0, 0, 0])
+    for x in got:
+        for k, v in enumerate((x["length"], 1, x["loss_tokens"])):
+            sums[x["sequence_id"]][k] += v
+    assert all(a <= 256 and b <= 3 and c <= 60 for a, b, c in sums.values())
+    assert max(b for _, b, _ in sums.values()) == 3 and max(c for *_, c in sums.values()) == 60
+    want = {c: sum(len(t.split()) + 1 for i, _, _, t in rows if i == c) for c in range(120)}
+    assert {c: sum(x["length"] for x in got if x["doc_id"] == c) for c in want} == want
+
+
+def test_toxicity_scores_window_by_window():
+    """The score of a text is the calibrated highest logit of a plain GRU with attention over each of its windows, word by word."""
+    net = toxicity.Network(["a", "bb", "ccc"], 1)
+    r = np.random.default_rng(3)
+    net.w = {k: (v + 0.3 * r.standard_normal(v.shape)).astype(np.float32) for k, v in net.w.items()}
+    net.scale, net.shift = 1.3, -0.2
+    w, h = {k: v.astype(float) for k, v in net.w.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def brute(text):
+        words = [toxicity.normal(x) for x in WORD.findall(text or "")]
+        logits = []
+        for s in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+            x = [np.r_[w["Ew"][net.ids.get(v, 0)], np.mean([w["Ec"][g] for g in toxicity.trigrams(v)], axis=0)] for v in words[s : s + toxicity.WINDOW]]
+            if not x:
+                logits.append(float(w["bo"][0]))
+                continue
+            out = np.zeros((len(x), 2 * h))
+            for d, order in enumerate((range(len(x)), reversed(range(len(x))))):
+                state = np.zeros(h)
+                for t in order:
+                    p, g = x[t] @ w["W"][d] + w["b"][d], state @ w["U"][d]
+                    z, q = sig(p[:h] + g[:h]), sig(p[h : 2 * h] + g[h : 2 * h])
+                    state = state + (1 - z) * (np.tanh(p[2 * h :] + q * g[2 * h :]) - state)
+                    out[t, d * h : d * h + h] = state
+            e = np.exp(np.tanh(out @ w["Wa"]) @ w["va"])
+            logits.append(float((e / e.sum()) @ out @ w["wo"] + w["bo"][0]))
+        return sig(net.scale * max(logits) + net.shift)
+
+    given = [x for x in texts() if x is None or len(x) < 2000]
+    assert np.allclose(toxicity.Scorer(net).scores(given), [brute(t) for t in given], atol=1e-4)
+
+
+def test_lm_scores_token_by_token(docs):
+    model = lm.fit(docs.select("text"), rounds=(0.1,), share=1)
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    soft = lambda a, k: a[k] - np.log(np.exp(a - a.max()).sum()) - a.max()
+
+    def brute(text):
+        words = WORD.findall((text or "").lower())
+        ids = [model.own[x] if x in model.own else model.first + lm.ending(x) for x in words]
+        edged = [model.edge] * 2 + ids + [model.edge] * 2
+        total = 0.0
+        for i, (x, t) in enumerate(zip(words, ids, strict=True)):
+            h = np.tanh(sum(w["E"][k][edged[i + 2 + s]] for k, s in enumerate(lm.SIDES)) + w["b"])
+            kind, inner = divmod(t, model.inside)
+            total += soft(h @ w["C"] + w["c"], kind) + soft(h @ w["T"][kind] + w["t"][kind], inner)
+            if t >= model.first:
+                n = dict(zip(model.known[0].tolist(), model.known[1].tolist(), strict=True)).get(int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64)), 0)
+                total += n - math.log1p(model.ended[t - model.first])
+        return total
+
+    given = [t for t in texts() if t is None or len(t) < 900][:25]
+    assert np.allclose(model.score(given)[1], [brute(t) for t in given], rtol=1e-4, atol=1e-3)
