@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences in five stages, each on all that the one before kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's ``docs``. All stages but the last return the columns of ``docs``.
+the next one's ``docs``. All stages but the last return the columns of ``docs``, further ones and such with clashing names included. Every
+stage takes empty tables, very long texts, ties and repeated rows; its operator's docstring says what becomes of them.
 """
 
 from __future__ import annotations
@@ -11,40 +12,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from looploom.llm.mixing import mix_sources
 from looploom.llm.packing import pack_documents
 from looploom.llm.quality import quality_rules
-from looploom.llm.simhash import simhash_components
+from looploom.llm.simhash import one_of_each
 from looploom.llm.text import table
 from looploom.llm.toxicity import fit_toxicity, score_toxicity
 from looploom.tables import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Null and empty texts go; an empty table stays empty."""
+    """Documents that the quality rules keep. Null and empty texts go; null doc_ids, languages and sources do not matter; an empty table stays empty."""
     return quality_rules(docs).where("kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. The classifier learns from the labelled rows of the whole table of documents."""
+    """Documents that are not predicted toxic. The classifier learns from the labelled rows of the whole table of documents. Null and empty
+    texts are scored like any other; without labels of both kinds all documents stay."""
     net = fit_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, net).where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id (one row of it, should rows repeat)."""
-    found = materialize(simhash_components(docs).where("doc_id = component_id").select("doc_id"), "kept")
-    rows, kept = found.count(), found.distinct()
-    out = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")  # the same plan at every size: both sides by doc_id, no sort
-    if kept.count() < rows:  # some rows share a doc_id
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    """One document of each SimHash component: the one with the smallest doc_id. Rows without a doc_id, and different rows that share one,
+    are documents of their own; a row that repeats as a whole is one document."""
+    return one_of_each(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out to give sources their target weights."""
+    """Documents repeated or left out to give sources their target weights. The readings of a document are equal rows, as a stage returns
+    the columns of documents alone; packing gives each its own pieces. Null sources are a source; documents without words follow their block."""
     return mix_sources(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with their token ids."""
+    """Pieces of packed sequences, with their token ids. Null texts are the end id alone; a null doc_id stays null."""
     return pack_documents(docs)
 
 
