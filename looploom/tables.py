@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing a Parquet table and reading it again: the files outlive any executor, and only the
 columns that a later step uses are read. The folder is the one that the session names in ``spark.checkpoint.dir``; where none is named
-(tests, notebooks in local mode) a temporary folder is made once for each session.
+and all runs in one process (tests, notebooks in local mode) a temporary folder is made once for each session.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session (a path or URI without a trailing slash)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="looploom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
