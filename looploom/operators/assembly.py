@@ -12,8 +12,9 @@ from looploom.tables import materialize
 
 
 def match_nodes(nodes: DataFrame, reference: DataFrame, k: int = 101, end: int = 50000, large: int = 100000, least: int = 2000, compress: bool = False) -> DataFrame:
-    """Names of nodes (``name``, ``seq``) that match the reference (``id``, ``seq``): nodes of ``large`` bases need more than ``least`` matched bases
-    in either end of ``end`` bases, smaller ones at least ``least`` in all. ``compress``: the graph is homopolymer-compressed, so the reference is too."""
+    """(``name``, ``side``) of nodes (``name``, ``seq``) that match the reference (``id``, ``seq``). Nodes of under ``large`` bases need at least
+    ``least`` matched bases in all; their side is null. Of larger ones, each end of ``end`` bases with more than ``least`` matched bases counts by
+    itself: side ``<`` is the start, ``>`` the end. ``compress``: the graph is homopolymer-compressed, so the reference is too."""
     ref = reference.withColumn("seq", homopolymer_compress("seq")) if compress else reference
     long = F.length("seq") >= large
     pieces = F.when(long, F.array(F.substring("seq", F.lit(1), F.lit(end)), F.expr(f"right(seq, {end})"))).otherwise(F.array("seq"))
@@ -21,13 +22,15 @@ def match_nodes(nodes: DataFrame, reference: DataFrame, k: int = 101, end: int =
     parts = materialize(parts.select("name", "long", F.concat_ws("|", "name", F.col("part").cast("string")).alias("id"), "seq"), "ends")
     found = match_length(probes(parts, kmers(with_reverse(ref), k), k), k)
     good = parts.select("id", "name", "long").join(found, "id").where(F.when(F.col("long"), F.col("match_len") > least).otherwise(F.col("match_len") >= least))
-    return good.select("name").distinct()
+    return good.select("name", F.when(F.col("long"), F.when(F.endswith("id", F.lit("|0")), "<").otherwise(">")).alias("side")).distinct()
 
 
 def guess_tangles(nodes: DataFrame, edges: DataFrame, reference: DataFrame, k: int = 101, least_nodes: int = 10, compress: bool = False, **match) -> DataFrame:
-    """(``tangle`` from 0, ``node``, ``end``): components of ``least_nodes`` matched nodes or more that hold a directed cycle, with the nodes beyond
-    whose neighbours all lie in one of them. Tangles are numbered by size, large ones first, then by name, last first."""
-    matched = materialize(match_nodes(nodes, reference, k, compress=compress, **match), "matched")
+    """(``tangle`` from 0, ``node``, ``end``): components of ``least_nodes`` matched small nodes or more that hold a directed cycle, with the large
+    nodes one of whose matched ends leads to small nodes of one of them alone. A large node never joins components, and what did not match is no
+    end. Tangles are numbered by size, large ones first, then by name, last first."""
+    found = materialize(match_nodes(nodes, reference, k, compress=compress, **match), "matched")
+    matched, sided = found.where("side is null").select("name"), found.where("side is not null")
     links = materialize(edges.select("src", "src_fwd", "dst", "dst_fwd").distinct(), "links")
     both = links.join(matched.withColumnRenamed("name", "src"), "src", "left_semi").join(matched.withColumnRenamed("name", "dst"), "dst", "left_semi")
     members = materialize(components_with_size(both.select("src", "dst"), least_nodes), "members")
@@ -35,7 +38,11 @@ def guess_tangles(nodes: DataFrame, edges: DataFrame, reference: DataFrame, k: i
     core = cyclic_core(both.select(sign("src", "src_fwd").alias("src"), sign("dst", "dst_fwd").alias("dst")))
     cyclic = core.select(F.substring("src", F.lit(2), F.length("src")).alias("node")).distinct().join(members, "node").select("component").distinct()
     members = members.join(cyclic, "component", "left_semi")
-    ends = attach_ends(links.select("src", "dst"), members)
+    # an edge leaves a node by its end (forward) or start, and enters it by the other
+    out = lambda f: F.when(F.col(f), ">").otherwise("<")
+    tips = links.select(F.col("src").alias("name"), out("src_fwd").alias("side"), F.col("dst").alias("near")).unionByName(links.select(F.col("dst").alias("name"), F.when(F.col("dst_fwd"), "<").otherwise(">").alias("side"), F.col("src").alias("near")))
+    tips = tips.join(sided, ["name", "side"], "left_semi").select(F.concat_ws("|", "side", "name").alias("src"), F.col("near").alias("dst"))
+    ends = attach_ends(tips, members).select("component", F.substring("node", F.lit(3), F.length("node")).alias("node")).distinct()
     named = members.groupBy("component").agg(F.count("*").alias("size"), F.max("node").alias("name"))
     rank = named.select("component", (F.row_number().over(W.orderBy(F.desc("size"), F.desc("name"))) - 1).alias("tangle"))
     return members.select("component", "node", F.lit(False).alias("end")).unionByName(ends.select("component", "node", F.lit(True).alias("end"))).join(rank, "component").select("tangle", "node", "end")

@@ -276,11 +276,12 @@ def unitigs(counts: dict[str, int]) -> tuple[dict[str, tuple[str, int]], list[tu
     for seed in (*sorted(x for x in both if not inner(x)), *sorted(both)):  # the second pass finds rings
         if seed in home:
             continue
-        chain = [seed]
+        chain, inside = [seed], {seed}
         while len(n := nxt(chain[-1])) == 1 and inner(n[0]) and n[0] not in home and n[0] != seed and rc(n[0]) not in chain[-1:] and n[0] not in map(rc, chain[-1:]) and rc(n[0]) not in home:
-            if n[0] in chain or rc(n[0]) in chain:
+            if n[0] in inside or rc(n[0]) in inside:
                 break
             chain.append(n[0])
+            inside.add(n[0])
         name = f"u{len(nodes)}"
         nodes[name] = (chain[0] + "".join(x[-1] for x in chain[1:]), round(sum(both[x] for x in chain) / len(chain)))
         for i, x in enumerate(chain):

@@ -87,28 +87,6 @@ def phased(loops: DataFrame, key: str = "cluster", id: str = "id", seq: str = "s
     return _grouped(loops.select(key, id, seq), key, run, f"`{key}` {kinds[key]}, `{id}` {kinds[id]}, part long")
 
 
-def density_split(loops: DataFrame, key: str = "cluster", id: str = "id", seq: str = "seq", max_edits: int = 200, min_edits: int = 5) -> DataFrame:
-    """Each loop with ``part``: its density cluster in its cluster; null where it is noise. The distances' peak sets the radius."""
-    kinds = dict(loops.dtypes)
-    from looploom.operators.intervals import upper_median
-
-    middle = upper_median(loops.select(F.lit(0).alias("k"), F.length(seq).alias("bases")), ["k"], "bases").first()
-    all_median = middle["median"] if middle else 1
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id).reset_index(drop=True)
-        seqs, memo, pairs = list(pdf[seq]), {}, {}
-        for i in range(len(seqs)):
-            for j in range(i):
-                p = (seqs[j], seqs[i])
-                if p not in memo:
-                    memo[p] = strings.edit_distance(*p, max_edits)
-                pairs[j, i] = memo[p]
-        return pdf[[key, id]].assign(part=pd.array(strings.density_clusters([len(s) for s in seqs], pairs, all_median, max_edits, min_edits), dtype="Int64"))
-
-    return _grouped(loops.select(key, id, seq), key, run, f"`{key}` {kinds[key]}, `{id}` {kinds[id]}, part long")
-
-
 def heaviest_cycles(nodes: DataFrame, edges: DataFrame, key: str = "tangle", resolve_length: int = 0) -> DataFrame:
     """The heaviest cycle of each graph: (key, ``path`` as text, ``consensus``) from nodes (key, ``name``, ``seq``, ``coverage``) and edges (key, …)."""
     kind = dict(nodes.dtypes)[key]

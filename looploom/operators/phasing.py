@@ -57,11 +57,11 @@ def _spaced(places: list[int], gap: int) -> int:
 
 
 def by_same_reads(edits: dict[Edit, frozenset[int]], n: int, least_edits: int = 5, gap: int = 100, least_reads: int = 3) -> list[list[int]] | None:
-    """Five or more SNPs, over 100 apart, that share one set of reads (or its complement), of at least three on either side; the set with
+    """Five or more SNPs or double SNPs, over 100 apart, that share one set of reads (or its complement), of at least three on either side; the set with
     most SNPs splits, and equal ones split together."""
     groups: dict[frozenset[int], list[int]] = defaultdict(list)
     for e, r in edits.items():
-        if is_snp(e) and least_reads <= len(r) <= n - least_reads:
+        if (is_snp(e) or is_double_snp(e)) and least_reads <= len(r) <= n - least_reads:
             groups[min(r, frozenset(range(n)) - r, key=lambda s: (len(s), sorted(s)))].append(e[0])
     score = {r: k for r, p in groups.items() if (k := _spaced(p, gap)) >= least_edits}
     if not score:
@@ -221,11 +221,12 @@ def by_correlated_snps(edits: dict[Edit, frozenset[int]], ref: str, n: int, gap:
 
 
 def by_edit_linkage(edits: dict[Edit, frozenset[int]], ref: str, n: int, gap: int = 100) -> list[list[int]] | None:
-    """Four (under 20 reads) or five edits at as many places ``gap`` apart that share one set of reads, with a SNP or a large indel among them."""
+    """Four (under 20 reads) or five edits at as many places ``gap`` apart that share one set of reads, of as many reads at least on either
+    side, with a SNP or a large indel among them."""
     need = 4 if n < 20 else 5
     groups: dict[frozenset[int], list[Edit]] = defaultdict(list)
     for e, r in edits.items():
-        if 3 <= len(r) <= n - 3:
+        if need <= len(r) <= n - need:
             groups[min(r, frozenset(range(n)) - r, key=lambda s: (len(s), sorted(s)))].append(e)
     good = [r for r, es in groups.items() if len(es) >= need and _spaced([e[0] for e in es], gap - 1) >= need and any(is_snp(e) or is_big_indel(e) and not is_microsatellite(e, ref) for e in es)]
     return _by_vector([[i in r for r in sorted(good, key=sorted)] for i in range(n)]) if good else None

@@ -115,7 +115,7 @@ def _(t):
 
 @query("density_split")
 def _(t):
-    return grouped.density_split(clustered(t), max_edits=60)
+    return clusters.density_split(clustered(t), max_edits=60)
 
 
 @query("de_bruijn_graph")

@@ -40,7 +40,7 @@ def morphs(long_reads: DataFrame, unit: str, params: Params, min_length: int | N
     found = loops.loops_between_breaks(long_reads, loops.unit_breaks(long_reads, unit, params.long_k), min_length or len(unit) // 2)
     found = materialize(found.withColumn("id", F.concat_ws("_", "read", F.col("start").cast("string"), F.col("end").cast("string"))), "loops")
     rough = materialize(found.join(clusters.rough_clusters(found, params.max_edits, "id", "raw"), "id"), "rough")
-    split = grouped.phased(rough, "cluster", "id", "raw") if params.extra_phasing else grouped.density_split(rough, "cluster", "id", "raw", params.max_edits, params.min_edits)
+    split = grouped.phased(rough, "cluster", "id", "raw") if params.extra_phasing else clusters.density_split(rough, "cluster", "id", "raw", params.max_edits, params.min_edits)
     parts = materialize(split.where("part is not null"), "parts")
     sized = parts.groupBy("cluster", "part").agg(F.count("*").alias("coverage"), F.min("id").alias("first"))
     ranked = sized.withColumn("morph", F.row_number().over(W.orderBy(F.desc("coverage"), "first")) - 1)  # a row a morph, not a loop

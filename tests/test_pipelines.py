@@ -67,7 +67,25 @@ def test_tangles(spark):
     line = [(f"n{i}", True, f"n{i + 1}", True) for i in range(10, 19)]
     edges = spark.createDataFrame([*ring, *line, ("n3", True, "n20", True), ("n21", True, "n22", True)], "src string, src_fwd boolean, dst string, dst_fwd boolean")
     got = Counter((x["tangle"], x["end"]) for x in assembly.guess_tangles(nodes, edges, ref, 31, least=200).collect())
-    assert got == {(0, False): 10, (0, True): 1}
+    assert got == {(0, False): 10}  # n20 is a neighbour, but does not match
+
+
+def test_large_nodes_count_by_their_matched_end(spark):
+    r = random.Random(2)
+    seqs = {f"{c}{i}": "".join(r.choice("ACGT") for _ in range(400)) for c in "ab" for i in range(10)}
+    far = "".join(r.choice("ACGT") for _ in range(3000))
+    locus = "".join(seqs.values())
+    seqs |= {"big": seqs["a1"] + far + seqs["b1"], "tail": far + seqs["a3"], "none": far[::-1]}
+    ref = spark.createDataFrame([("r", locus)], "id string, seq string")
+    nodes = spark.createDataFrame([(k, s) for k, s in seqs.items()], "name string, seq string")
+    ring = [(f"{c}{i}", True, f"{c}{(i + 1) % 10}", True) for c in "ab" for i in range(10)]
+    # big joins both rings, by either matched end; tail touches a ring with its unmatched start, and b with its end
+    more = [("a5", True, "big", True), ("big", True, "b5", True), ("a7", True, "tail", True), ("tail", True, "b7", True), ("a8", True, "none", True)]
+    edges = spark.createDataFrame([*ring, *more], "src string, src_fwd boolean, dst string, dst_fwd boolean")
+    got = assembly.guess_tangles(nodes, edges, ref, 31, least=200, large=2000, end=1000).collect()
+    inner = {x["node"]: x["tangle"] for x in got if not x["end"]}
+    assert len(inner) == 20 and inner["a0"] != inner["b0"]
+    assert sorted((x["node"], x["tangle"]) for x in got if x["end"]) == sorted([("big", inner["a0"]), ("big", inner["b0"]), ("tail", inner["b0"])])
 
 
 def test_assignment_chain(spark):

@@ -176,3 +176,31 @@ def test_microsatellites_at_every_base(spark, tmp_path):
     bases = [(i, s.translate(str.maketrans(S.LETTERS, S.BASES))) for i, s in docs]
     want = {i: sum(found(s, p) for p in range(len(s) - 4)) for i, s in bases if len(s) >= 5}
     assert dict(map(tuple, registry.QUERIES["microsatellite_indel_all"](spark, str(tmp_path)).collect())) == want
+
+
+def test_density_split_is_the_plain_one(spark, monkeypatch):
+    import random
+
+    from looploom.operators import clusters, strings
+
+    monkeypatch.setattr(clusters, "BAND_ROWS", 6)  # bands are cut into blocks
+    r = random.Random(4)
+    noise = lambda s, n: "".join(r.choice("ACGT") if r.random() < n else c for c in s)
+    rows = []
+    for key in range(3):
+        base = "".join(r.choice("ACGT") for _ in range(120))
+        kinds = [base, noise(base, 0.25 if key else 0.02)]
+        rows += [(key, noise(k, 0.02)) for k in kinds for _ in range(12)] + [(key, base)] * 4
+    rows = [(k, i, s) for i, (k, s) in enumerate(rows)]
+    got = {x["id"]: x["part"] for x in clusters.density_split(spark.createDataFrame(rows, "cluster int, id long, seq string"), max_edits=60).collect()}
+    own = {k: [(i, s) for key, i, s in rows if key == k] for k in range(3)}
+    dist = {k: {(i, j): strings.edit_distance(own[k][i][1], own[k][j][1], 60) for j in range(len(own[k])) for i in range(j)} for k in own}
+    peak = strings.histogram_peak([min(d, 59) for k in own for d in dist[k].values()], 60)
+    middle = strings.upper_median([len(s) for *_, s in rows])
+    assert len(got) == len(rows)
+    for k in own:
+        want = strings.density_clusters([len(s) for _, s in own[k]], dist[k], middle, 60, peak=peak)
+        names = {c: n for n, c in enumerate(sorted({w for w in want if w is not None}, key=want.index))}
+        assert [got[i] for i, _ in own[k]] == [None if w is None else names[w] for w in want]
+    assert len({(k, got[i]) for k, i, _ in rows}) > 3
+    assert clusters.density_split(spark.createDataFrame([], "cluster int, id long, seq string")).count() == 0

@@ -119,3 +119,50 @@ def test_phasing():
 def test_binomial():
     assert abs(strings.binomial_tail(8, 10, 0.5) - 56 / 1024) < 1e-12
     assert strings.binomial_tail(1, 10, 0.0) == 0.0 and strings.binomial_tail(10, 10, 1.0) == 1.0
+
+
+def script_cost(edits, mismatch=2, gap_open=2, gap_extend=1):
+    """Least cost of edits: substitutions and one gap each."""
+    return sum(mismatch * min(e - s, len(alt)) + (gap_open + gap_extend * abs(e - s - len(alt)) if e - s != len(alt) else 0) for s, e, alt, _ in edits)
+
+
+def test_edit_script_of_long_stretches(monkeypatch):
+    r = random.Random(8)
+    a = "".join(r.choice("ACGT") for _ in range(5000))
+    b = list(a)
+    for p in range(100, 4900, 160):
+        b[p] = {"A": "C", "C": "G", "G": "T", "T": "A"}[b[p]]
+    b = "G" + "".join(b[:2400]) + "".join(b[2403:]) + "C"
+    whole = strings.edit_script(a, b)
+    assert strings.apply_edits(a, [e[:3] for e in whole]) == b and len(whole) >= 30
+    monkeypatch.setattr(strings, "_HELD_CELLS", 40_000)  # blocks of few rows are made anew
+    assert strings.edit_script(a, b) == whole
+    for _ in range(30):
+        x, y = ("".join(r.choice("AC") for _ in range(r.randint(1, 12))) for _ in range(2))
+        got = strings.edit_script(x, y)
+        assert strings.apply_edits(x, [e[:3] for e in got]) == y
+
+
+def test_unmatched_stretch_is_aligned():
+    r = random.Random(9)
+    a = "".join(r.choice("ACGT") for _ in range(2600))
+    b = "".join(c if i % 9 else {"A": "C", "C": "G", "G": "T", "T": "A"}[c] for i, c in enumerate(a))  # no anchors
+    edits = strings.edits_between_anchors(a, b)
+    assert len(edits) > 200 and strings.apply_edits(a, [e[:3] for e in edits]) == b
+
+
+def test_linked_edits_need_as_many_reads():
+    from looploom.operators import phasing
+
+    ref = "ACGT" * 300
+    edits = {(p, p + 1, "T"): frozenset({0, 1, 2}) for p in range(100, 900, 150)}
+    assert phasing.by_edit_linkage(edits, ref, 15) is None  # three reads are too few
+    edits = {e: frozenset({0, 1, 2, 3}) for e in edits}
+    assert phasing.by_edit_linkage(edits, ref, 15) == [[0, 1, 2, 3], list(range(4, 15))]
+
+
+def test_double_snps_split():
+    from looploom.operators import phasing
+
+    edits = {(p, p + 2, "TT"): frozenset({0, 1, 2}) for p in range(100, 1500, 150)}
+    assert phasing.by_same_reads(edits, 12) == [[0, 1, 2], list(range(3, 12))]
