@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,12 +185,16 @@ def layout(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np
     starts = [windows(len(r)) for r in rows]
     count = np.array([len(s) for s in starts])
     size = np.array([len(r) for r in rows])
-    base = np.r_[0, np.cumsum(size)[:-1]]
-    flat = np.concatenate([*rows, np.zeros(1, np.int64)]).astype(np.int64)
-    place = np.concatenate(starts)[:, None] + np.arange(WINDOW)
+    kind = np.int32 if size.sum() < 1 << 30 else np.int64
+    base = np.r_[0, np.cumsum(size)[:-1]].astype(kind)
+    flat = np.concatenate([*rows, np.zeros(1, np.int32)])
+    place = np.concatenate(starts).astype(kind)[:, None] + np.arange(WINDOW, dtype=kind)
     real = place < np.repeat(size, count)[:, None]
-    at = flat[np.where(real, place + np.repeat(base, count)[:, None], len(flat) - 1)]
-    return np.where(real, at, pad), real, np.r_[0, np.cumsum(count)[:-1]]
+    place += np.repeat(base, count)[:, None]
+    place[~real] = len(flat) - 1
+    at = flat[place]
+    at[~real] = pad
+    return at, real, np.r_[0, np.cumsum(count)[:-1]]
 
 
 class Scorer:
@@ -223,7 +226,7 @@ class Scorer:
         if new:
             self._add(new)
             got = [[self.rows[w] for w in words] if None in rows else rows for words, rows in zip(split, got, strict=True)]
-        at, real, first = layout([np.array(r, np.int64) for r in got], 0)
+        at, real, first = layout([np.array(r, np.int32) for r in got], 0)
         logit = np.concatenate([self.net.forward(self.proj, at[i : i + BATCH_WINDOWS], real[i : i + BATCH_WINDOWS]) for i in range(0, len(at), BATCH_WINDOWS)])
         return np.maximum.reduceat(logit, first)
 
@@ -239,22 +242,26 @@ def train(texts: list[str], y: np.ndarray, prior: float, steps: int = STEPS, see
     window for texts of label 0; POSITIVE of each batch has label 1. The highest logit is then calibrated by logistic regression with classes weighted to the prior.
     """
     rng = np.random.default_rng(seed)
-    split = [[normal(w) for w in WORD_RE.findall(t)] for t in texts]
-    seen = [Counter(w for words, k in zip(split, y, strict=True) if k == c for w in set(words)) for c in (0, 1)]
+    number: dict[str, int] = {}  # texts are kept as numbers of words; 0 is padding
+    split = [np.array([number.setdefault(normal(w), len(number) + 1) for w in WORD_RE.findall(t)], np.int32) for t in texts]
+    seen = np.zeros((2, len(number) + 1), np.int64)
+    for s, k in zip(split, y, strict=True):
+        seen[k, np.unique(s)] += 1
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    both = seen[0] + seen[1]
-    vocabulary = sorted((w for w, c in both.items() if c >= 3), key=lambda w: (-both[w], w))[:VOCABULARY]
+    both = seen.sum(axis=0)
+    vocabulary = sorted((w for w, i in number.items() if both[i] >= 3), key=lambda w: (-both[number[w]], w))[:VOCABULARY]
     net = Network(vocabulary, seed)
-    net.w["Ew"][1:, 0] = [np.clip(0.3 * _evidence(seen[1][w], n1, seen[0][w], n0), -3, 3) for w in vocabulary]
-    net.w["Ew"][1:, 1] = [0.5 * (math.log((seen[1][w] + 1) / (n1 + 2)) - math.log((seen[0][w] + 1) / (n0 + 2))) for w in vocabulary]
-    speech = dict(zip(vocabulary, net.w["Ew"][1:, :2].sum(axis=1).tolist(), strict=True))
-    words = sorted({w for s in split for w in s})
-    number = {w: i + 1 for i, w in enumerate(words)}
-    features = net.inputs(["", *words])  # 0: padding
-    at, real, first = layout([np.array([number[w] for w in s], np.int64) for s in split], 0)
+    found = [(int(seen[0, number[w]]), int(seen[1, number[w]])) for w in vocabulary]
+    net.w["Ew"][1:, 0] = [np.clip(0.3 * _evidence(b, n1, a, n0), -3, 3) for a, b in found]
+    net.w["Ew"][1:, 1] = [0.5 * (math.log((b + 1) / (n1 + 2)) - math.log((a + 1) / (n0 + 2))) for a, b in found]
+    speech = np.zeros(len(number) + 1, np.float32)
+    speech[0] = -99
+    speech[[number[w] for w in vocabulary]] = net.w["Ew"][1:, :2].sum(axis=1)
+    features = net.inputs(["", *number])
+    at, real, first = layout(split, 0)
     count = np.diff(np.r_[first, len(at)])
-    text_of = np.repeat(np.arange(len(texts)), count)
-    speaks = np.array([-99.0, *[speech.get(w, 0.0) for w in words]])[at].max(axis=1)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    speaks = speech[at].max(axis=1)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     step, slow = 0, dict.fromkeys(("Ew", "Ec"), min(1.0, len(texts) / FULL_RATE_TEXTS))
 
