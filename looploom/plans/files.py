@@ -87,6 +87,21 @@ def _(spark, t):
     return consensus.majority_nodes(visits(t))
 
 
+@query("core_nodes_ranked", """
+with v as (select l_orderkey % 5000 as cluster, l_orderkey as lp, l_linenumber % 5 as node, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as n from lineitem),
+m as (select cluster, count(distinct lp) as loops from v group by cluster),
+g as (select cluster, node from (select cluster, node, lp, count(*) as times from v group by all) join m using (cluster) group by cluster, node, loops having count(*) = loops and max(times) = 1),
+e as (select cluster, node from v group by cluster, node having bool_or(i = 1) and bool_or(i = n)),
+r as (select cluster, lp, node, row_number() over (partition by cluster, lp order by i)::int as rank from v join g using (cluster, node) where (cluster, node) not in (select (cluster, node) from e))
+select cluster, node, min(rank) as rank from r group by cluster, node having min(rank) = max(rank)""")
+def _(spark, t):
+    """Line numbers, five of them as nodes, that all orders of a cluster have once and in the same place."""
+    from pyspark.sql import Window as W
+
+    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return consensus.core_nodes(t("lineitem").select((F.col("l_orderkey") % 5000).alias("cluster"), F.col("l_orderkey").alias("loop"), i.alias("i"), (F.col("l_linenumber") % 5).alias("node")))
+
+
 @query("consensus_path")
 def _(spark, t):
     return consensus.consensus_paths(visits(t))

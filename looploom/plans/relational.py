@@ -205,6 +205,15 @@ def _(t):
     return recruited(t, RECRUIT_MIN)
 
 
+SQL_BOTH = f"with {SQL_READS}, {SQL_REF}, two as (select id, seq from ref union all select id, translate(reverse(seq), 'ACGT', 'TGCA') from ref), hits as (select id, pos from ({sql_kmers('reads', RECRUIT_K, 1)}) where kmer in (select kmer from ({sql_kmers('two', RECRUIT_K)})))"
+
+
+@query("recruit_both_strands", f"{SQL_BOTH} select id as doc_id, count(*) as n_hits, sum(least(pos - prev, {RECRUIT_K}))::bigint as match_len from (select id, pos, lag(pos, 1, 0) over (partition by id order by pos) as prev from hits) group by id")
+def _(t):
+    """Matches with the benchmark items and their reverse complements."""
+    return K.recruit(reads(t), reference(t), RECRUIT_K, 0).withColumnRenamed("id", "doc_id")
+
+
 SQL_ANCHORS = f"{SQL_READS}, one as (select * from (select item_id as id, {SQL_DNA} as seq from benchmark) where id = (select min(item_id) from benchmark)), uniq as (select kmer, min(pos) as ref_pos from ({sql_kmers('one', RECRUIT_K)}) group by kmer having count(*) = 1), h as (select k.id, ref_pos, pos, ref_pos - pos as diag from ({sql_kmers('reads', RECRUIT_K)}) k join uniq using (kmer))"
 
 

@@ -148,3 +148,32 @@ def test_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["id"], r["match_len"]) for r in spark.table("found").collect()} == {(r["id"], r["match_len"]) for r in want} and want
+
+
+def test_command_from_files_to_files(spark, tmp_path):
+    from looploom.__main__ import main
+    from looploom.sources.graphs import read_gfa
+    from looploom.sources.sequences import read_fasta
+
+    unit, kinds, accurate, long = simulate()
+    for name, rows in (("hifi", accurate), ("nano", long), ("locus", [unit])):
+        (tmp_path / f"{name}.fa").write_text("".join(f">{name}{i} x\n{s}\n" for i, s in enumerate(rows)))
+    at = lambda x: str(tmp_path / x)
+    # the locus is short: a k-mer of 61 and the other limits of the command
+    assert main(["reference", "-i", at("hifi.fa"), "--nano", at("nano.fa"), "-r", at("locus.fa"), "-o", at("out"), "-k", "61", "--morph-cluster-maxedit", "60", "--extra-phasing", "--orient-by-reference", at("locus.fa")], spark) == 1  # reads are shorter than the least match
+    from looploom import config
+
+    made = config.Params
+    try:
+        config.Params = lambda **x: made(**{**x, "recruit_k": 31, "recruit_min": 300})
+        assert main(["reference", "-i", at("hifi.fa"), "--nano", at("nano.fa"), "-r", at("locus.fa"), "-o", at("out2"), "-k", "61", "--morph-cluster-maxedit", "60", "--extra-phasing", "--orient-by-reference", at("locus.fa")], spark) == 0
+    finally:
+        config.Params = made
+    found = read_fasta(spark, at("out2/consensus.fa")).collect()
+    assert len(found) == 1 and min(edit_distance(found[0]["seq"], k, 30) for k in kinds) <= 12
+    morphs = read_fasta(spark, at("out2/morphs.fa")).collect()
+    assert len(morphs) >= 3 and read_fasta(spark, at("out2/loops.fa")).count() >= 30
+    nodes, edges = read_gfa(spark, at("out2/morphgraph.gfa"))
+    assert {x["name"] for x in nodes.collect()} == {x["id"] for x in morphs} and edges.count() > 0
+    assert spark.read.text(at("out2/readpaths.tsv")).count() > 0
+    assert main(["tangles", "-i", at("hifi.fa")], spark) == 2
