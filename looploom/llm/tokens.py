@@ -121,7 +121,10 @@ class Encoder:
         """Ids of a pre-token by the library's model."""
         ids = self.parts.old.get(part)
         if ids is None:
-            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+            # visible ASCII is written as it is, but for spaces
+            plain = part.isascii() and part.isprintable()
+            letters = part.replace(" ", self.letters[32]) if plain else part.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
         self.parts.young[part] = ids
         return ids
 
@@ -135,8 +138,13 @@ class Encoder:
                 if split is None or not (c.isascii() or plain(c)):
                     whole.append(c)
                     continue
-                got = [known.get(p) or ask(p) for p in split(c.lower() if lower else c)]
-                ids = got[0] if len(got) == 1 else b"".join(got)
+                p = c.lower() if lower else c
+                # ASCII letters, with or without one space before them, are one pre-token
+                if p.isascii() and (p[1:] if p[:1] == " " else p).isalpha():
+                    ids = known.get(p) or ask(p)
+                else:
+                    got = [known.get(x) or ask(x) for x in split(p)]
+                    ids = got[0] if len(got) == 1 else b"".join(got)
             out[c] = ids
         if whole:
             out.update(zip(whole, self._ask(whole), strict=True))

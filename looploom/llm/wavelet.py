@@ -33,7 +33,8 @@ MAGIC, BLOCK = b"LWM1", 512
 
 
 def _partition(ids: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.concatenate([ids[~bit], ids[bit]])
+    # compress is several times as fast as a mask as index
+    return np.concatenate([ids.compress(~bit), ids.compress(bit)])
 
 
 def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
@@ -43,7 +44,7 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, null
     raw = [doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes()]
     zeros, at = [], ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for k in range(levels):
-        bit = (at >> (levels - 1 - k) & 1).astype(bool)
+        bit = at & at.dtype.type(1 << (levels - 1 - k)) != 0
         packed = np.packbits(bit)
         padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
         padded[: len(packed)] = packed
@@ -138,8 +139,8 @@ class Shard:
         for k in reversed(range(self.levels)):
             bit = np.unpackbits(self._bits(k), count=self.n).view(bool)
             up = np.empty(self.n, kind)
-            up[~bit] = at[: self.zeros[k]]
-            up[bit] = at[self.zeros[k] :] | kind(1 << (self.levels - 1 - k))
+            up[np.flatnonzero(~bit)] = at[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = at[self.zeros[k] :] | kind(1 << (self.levels - 1 - k))
             at = up
         return at.astype("<u4")
 
