@@ -76,14 +76,8 @@ def syncmers(reads: DataFrame, k: int, s: int, id: str = "id", seq: str = "seq",
     return rows.join(texts, "id").select("id", "pos", F.substring("b", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
 
 
-def anchors(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """Hits of queries (``id``, ``seq``) in the unique k-mers of one reference (``id``, ``seq``): (``id``, ``ref_pos``, ``pos``, ``diag``)."""
-    ref = unique_kmers(reference, k).select("kmer", F.col("pos").alias("ref_pos"))
-    return kmers(queries, k).join(ref, "kmer").select("id", "ref_pos", "pos", (F.col("ref_pos") - F.col("pos")).alias("diag"))
-
-
-def anchors_each(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """As :func:`anchors`, against each of many references by itself: (``id``, ``ref``, ``ref_pos``, ``pos``, ``diag``)."""
+def anchors(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """Hits of queries (``id``, ``seq``) in the k-mers that one reference (``id``, ``seq``) has once, for each reference by itself: (``id``, ``ref``, ``ref_pos``, ``pos``, ``diag``)."""
     once = kmers(references, k).groupBy("id", "kmer").agg(F.count("*").alias("n"), F.min("pos").alias("ref_pos")).where("n = 1")
     hits = kmers(queries, k).join(once.select(F.col("id").alias("ref"), "kmer", "ref_pos"), "kmer")
     return hits.select("id", "ref", "ref_pos", "pos", (F.col("ref_pos") - F.col("pos")).alias("diag"))

@@ -78,17 +78,9 @@ def _(t):
 
 
 @query("longest_chain")
-def _(t):
-    """Longest increasing chain of each document's anchors."""
-    hits = relational.anchored(t)
-    points = hits.groupBy("id").agg(F.collect_list(F.struct("ref_pos", "pos")).alias("p"))
-    return points.select("id", F.explode(grouped.longest_chain("p")).alias("x")).select("id", "x.ref_pos", "x.pos")
-
-
-@query("longest_chain_all")
 def _(t):
     """Longest increasing chain of each document's anchors in each benchmark item."""
-    points = relational.all_anchored(t).groupBy("id", "item_id").agg(F.collect_list(F.struct("ref_pos", "pos")).alias("p"))
+    points = relational.anchored(t).groupBy("id", "item_id").agg(F.collect_list(F.struct("ref_pos", "pos")).alias("p"))
     return points.select("id", "item_id", F.explode(grouped.longest_chain("p")).alias("x")).select("id", "item_id", "x.ref_pos", "x.pos")
 
 

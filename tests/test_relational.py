@@ -138,16 +138,16 @@ def test_components_of_all_lines(spark, tmp_path):
         a, b = find(s), find(o + 100000000)
         up[max(a, b)] = min(a, b)
     want = {x: find(x) for x in up}
-    assert dict(map(tuple, registry.QUERIES["connected_components_all"](spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, registry.QUERIES["connected_components"](spark, str(tmp_path)).collect())) == want
     size = Counter(want.values())
-    assert set(map(tuple, registry.QUERIES["tangle_components_all"](spark, str(tmp_path)).collect())) == {(x, c, size[c]) for x, c in want.items() if size[c] >= 10}
+    assert set(map(tuple, registry.QUERIES["tangle_components"](spark, str(tmp_path)).collect())) == {(x, c, size[c]) for x, c in want.items() if size[c] >= 10}
 
 
 def test_nations_of_all_customers(spark, tmp_path):
     for name, rows, cyclic in (("ring", [(1, 2), (2, 28), (3, 26), (7, 9)], True), ("chain", [(1, 2), (2, 28), (7, 9)], False)):
         spark.createDataFrame([(n, c, 5.0) for n, c in rows], "c_nationkey int, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/{name}/customer.parquet")
-        assert {x["node"] for x in registry.QUERIES["reachability_all"](spark, f"{tmp_path}/{name}").collect()} == {1, 2, 3}
-        assert registry.QUERIES["has_cycle_all"](spark, f"{tmp_path}/{name}").first()["cyclic"] is cyclic
+        assert {x["node"] for x in registry.QUERIES["reachability"](spark, f"{tmp_path}/{name}").collect()} == {1, 2, 3}
+        assert registry.QUERIES["has_cycle"](spark, f"{tmp_path}/{name}").first()["cyclic"] is cyclic
 
 
 def test_anchors_in_all_items(spark, tmp_path):
@@ -158,7 +158,7 @@ def test_anchors_in_all_items(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(d, i, a, b) for d, s in docs for i, q in items for a in range(len(q) - 14) for b in range(len(s) - 14) if q[a : a + 15] == s[b : b + 15]}
     assert {d[:2] for d in want} == {(7, 2), (8, 1), (8, 0)}
-    for name in ("anchors_all", "diagonal_filter_all", "repeat_kmer_filter_all", "longest_chain_all"):
+    for name in ("anchors", "diagonal_filter", "repeat_kmer_filter", "longest_chain"):
         got = registry.QUERIES[name](spark, str(tmp_path)).select("id", "item_id", "ref_pos", "pos").collect()
         assert len(got) == len(want) and set(map(tuple, got)) == want  # one diagonal and no repeats for each pair
 
@@ -175,7 +175,7 @@ def test_microsatellites_at_every_base(spark, tmp_path):
 
     bases = [(i, s.translate(str.maketrans(S.LETTERS, S.BASES))) for i, s in docs]
     want = {i: sum(found(s, p) for p in range(len(s) - 4)) for i, s in bases if len(s) >= 5}
-    assert dict(map(tuple, registry.QUERIES["microsatellite_indel_all"](spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, registry.QUERIES["microsatellite_indel"](spark, str(tmp_path)).collect())) == want
 
 
 def test_density_split_is_the_plain_one(spark, monkeypatch):
