@@ -60,8 +60,8 @@ def fill_forward(rows: DataFrame, by: list[str], order: str, value: Column, name
 
 
 def gap_chains(rows: DataFrame, by: list[str], start: str, end: str, gap: int, tie: str | None = None) -> DataFrame:
-    """``rows`` with ``chain`` (from 0): consecutive rows whose ends and starts lie at most ``gap`` apart, either way."""
-    w = W.partitionBy(*by).orderBy(start, end, *([tie] if tie else []))
+    """``rows`` with ``chain`` (from 0): consecutive rows whose ends and starts lie at most ``gap`` apart, either way. Rows without a place come last."""
+    w = W.partitionBy(*by).orderBy(*[F.asc_nulls_last(c) for c in (start, end, *([tie] if tie else []))])
     new = F.coalesce((F.abs(F.col(start) - F.lag(end).over(w)) > gap).cast("int"), F.lit(0))
     return rows.withColumn("__new", new).withColumn("chain", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("__new")
 

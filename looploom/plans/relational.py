@@ -326,7 +326,8 @@ def _(t):
 with e as (select user_id, event_id, epoch(ts)::bigint as s from events), g as (select *, case when abs(s - lag(s) over (partition by user_id order by s, event_id)) > 86400 then 1 else 0 end as new from e)
 select user_id, event_id, sum(new) over (partition by user_id order by s, event_id rows unbounded preceding)::int as chain from g""")
 def _(t):
-    e = t("events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    # SQL rounds to whole seconds, halves to even
+    e = t("events").select("user_id", "event_id", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint").alias("s"))
     return I.gap_chains(e, ["user_id"], "s", "s", 86400, tie="event_id").select("user_id", "event_id", "chain")
 
 

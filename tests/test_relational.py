@@ -204,3 +204,25 @@ def test_density_split_is_the_plain_one(spark, monkeypatch):
         assert [got[i] for i, _ in own[k]] == [None if w is None else names[w] for w in want]
     assert len({(k, got[i]) for k, i, _ in rows}) > 3
     assert clusters.density_split(spark.createDataFrame([], "cluster int, id long, seq string")).count() == 0
+
+
+def against_sql(spark, folder, name, table, rows, schema):
+    """Rows of a registered query and of its SQL on one small table."""
+    import duckdb
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    df = registry.QUERIES[name](spark, str(folder))
+    rel = con.sql(registry.ORACLE_SQL[name]).select(*df.columns)
+    key = lambda r: [(x is None, x) for x in r]
+    return sorted(map(tuple, df.collect()), key=key), sorted(rel.fetchall(), key=key)
+
+
+def test_gap_chain_rounds_seconds(spark, tmp_path):
+    """Times become whole seconds by rounding, halves to even; a missing time comes last."""
+    from datetime import datetime as d
+
+    rows = [(1, 1, d(2024, 1, 1, 0, 0, 0, 400_000)), (1, 2, d(2024, 1, 2, 0, 0, 0, 600_000)), (1, 3, None), (2, 4, d(2024, 1, 1, 0, 0, 0, 600_000)), (2, 5, d(2024, 1, 2, 0, 0, 1, 400_000)), (3, 6, d(2024, 1, 1, 0, 0, 0, 500_000)), (3, 7, d(2024, 1, 2, 0, 0, 1, 500_000))]
+    got, sql = against_sql(spark, tmp_path, "gap_chain", "events", rows, "user_id long, event_id long, ts timestamp_ntz")
+    assert got == sql == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 4, 0), (2, 5, 0), (3, 6, 0), (3, 7, 1)]
