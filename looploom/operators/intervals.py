@@ -30,8 +30,9 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, bin_width: int, how: str
 
 
 def merge_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Union of the spans of each key, as maximal disjoint spans; touching spans are joined."""
-    w = W.partitionBy(key).orderBy("start", "end")
+    """Union of the spans of each key, as maximal disjoint spans; touching spans are joined. Equal spans count once, so their order does
+    not matter; missing ends come last."""
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = spans.select(key, "start", "end", F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
     marked = marked.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -41,7 +42,7 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
 def complement_spans(spans: DataFrame, key: str, low: Column, high: Column) -> DataFrame:
     """What the spans of each key leave free between ``low`` and ``high`` (columns of the key's first span or literals)."""
     merged = merge_spans(spans, key)
-    w = W.partitionBy(key).orderBy("start")
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last("start"))
     free = merged.select(key, F.coalesce(F.lag("end").over(w), low).alias("a"), F.col("start").alias("b"))
     tail = merged.groupBy(key).agg(F.max("end").alias("a")).select(key, "a", high.alias("b"))
     return free.unionByName(tail).where("a < b").select(key, F.col("a").alias("start"), F.col("b").alias("end"))

@@ -281,7 +281,8 @@ SPANS_SQL = "spans as (select l_partkey as key, l_orderkey % 1000 as start, l_or
 
 
 def spans(t) -> DataFrame:
-    return t("lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") % 1000).alias("start"), (F.col("l_orderkey") % 1000 + F.col("l_quantity").cast("bigint")).alias("end"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("ord"))
+    # SQL rounds quantities, halves to even
+    return t("lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") % 1000).alias("start"), (F.col("l_orderkey") % 1000 + F.rint("l_quantity").cast("bigint")).alias("end"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("ord"))
 
 
 @query("interval_overlap_join", f"""

@@ -226,3 +226,13 @@ def test_gap_chain_rounds_seconds(spark, tmp_path):
     rows = [(1, 1, d(2024, 1, 1, 0, 0, 0, 400_000)), (1, 2, d(2024, 1, 2, 0, 0, 0, 600_000)), (1, 3, None), (2, 4, d(2024, 1, 1, 0, 0, 0, 600_000)), (2, 5, d(2024, 1, 2, 0, 0, 1, 400_000)), (3, 6, d(2024, 1, 1, 0, 0, 0, 500_000)), (3, 7, d(2024, 1, 2, 0, 0, 1, 500_000))]
     got, sql = against_sql(spark, tmp_path, "gap_chain", "events", rows, "user_id long, event_id long, ts timestamp_ntz")
     assert got == sql == [(1, 1, 0), (1, 2, 1), (1, 3, 1), (2, 4, 0), (2, 5, 0), (3, 6, 0), (3, 7, 1)]
+
+
+@pytest.mark.parametrize("name", ["interval_merge", "interval_complement"])
+def test_spans_round_quantities(spark, tmp_path, name):
+    """Lengths become whole by rounding, halves to even; a missing length comes after the others of its start."""
+    rows = [(1, 10, 2.5, 1), (1, 13, 3.5, 2), (1, 18, 2.6, 3), (1, 21, 1.0, 4), (2, 5, None, 1), (2, 5, 4.0, 2), (2, 9, 1.4, 3)]
+    got, sql = against_sql(spark, tmp_path, name, "lineitem", rows, "l_partkey long, l_orderkey long, l_quantity double, l_linenumber int")
+    assert got == sql
+    if name == "interval_merge":
+        assert got == [(1, 10, 12), (1, 13, 17), (1, 18, 22), (2, 5, 10)]
