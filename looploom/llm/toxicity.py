@@ -2,21 +2,22 @@
 
 A word's input is an embedding of the word (words of the training sample) beside the mean embedding of its character trigrams (hashed), so
 words never seen still have one. Windows of ``WINDOW`` words that overlap by half are scored, all of them, and a text's score is that of its
-highest window. The network is trained on the driver on a bounded sample of labelled rows; executors get its weights (a few MB) and score
-texts in batches, with the input projections of words they have met remembered.
+highest window. The network is trained in one task on a bounded sample of labelled rows, whose texts never reach the driver; it passes the
+weights on (a few MB) to executors that score texts in batches, with the input projections of words they have met remembered.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from looploom.llm.text import WORD_RE, keep, table
+from looploom.llm.text import WORD_RE, free, keep, table
 from looploom.tables import materialize
 
 WINDOW, STEP = 32, 16
@@ -234,8 +235,9 @@ class Scorer:
         return _sigmoid(self.net.scale * self.logits(texts).astype(np.float64) + self.net.shift)
 
 
-def train(texts: list[str], y: np.ndarray, prior: float, steps: int = STEPS, seed: int = SEED) -> Network:
-    """Fit a network to texts and 0/1 labels; ``prior`` is the share of label 1 where scores are to be used.
+def train(texts: Iterable[str], y: np.ndarray | list[int], prior: float, steps: int = STEPS, seed: int = SEED) -> Network | None:
+    """Fit a network to texts and 0/1 labels; ``prior`` is the share of label 1 where scores are to be used. ``texts`` are read once, and ``y`` after
+    them. None without texts of both labels.
 
     A text's label need not hold for each of its windows: the first round takes the window around the word that speaks most for label 1
     (log odds and signed root of the likelihood ratio of its document counts), later ones the window that the network scores highest, for texts of either label, beside a random
@@ -244,6 +246,9 @@ def train(texts: list[str], y: np.ndarray, prior: float, steps: int = STEPS, see
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}  # texts are kept as numbers of words; 0 is padding
     split = [np.array([number.setdefault(normal(w), len(number) + 1) for w in WORD_RE.findall(t)], np.int32) for t in texts]
+    y = np.asarray(y, np.int64)
+    if len(set(y.tolist())) < 2:
+        return None
     seen = np.zeros((2, len(number) + 1), np.int64)
     for s, k in zip(split, y, strict=True):
         seen[k, np.unique(s)] += 1
@@ -260,10 +265,10 @@ def train(texts: list[str], y: np.ndarray, prior: float, steps: int = STEPS, see
     features = net.inputs(["", *number])
     at, real, first = layout(split, 0)
     count = np.diff(np.r_[first, len(at)])
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    text_of = np.repeat(np.arange(len(split), dtype=np.int32), count)
     speaks = speech[at].max(axis=1)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
-    step, slow = 0, dict.fromkeys(("Ew", "Ec"), min(1.0, len(texts) / FULL_RATE_TEXTS))
+    step, slow = 0, dict.fromkeys(("Ew", "Ec"), min(1.0, len(split) / FULL_RATE_TEXTS))
 
     def highest(value: np.ndarray) -> np.ndarray:
         order = np.lexsort((-value, text_of))
@@ -320,7 +325,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Up to ``sample_rows`` rows a class, the first by a hash of doc_id, are taken
     from ``labels`` before the texts are joined, and of these as many as have ``SAMPLE_CHARS`` characters together, so what reaches the
-    driver is bounded. Rows without a doc_id, a label or a text teach nothing; repeated rows teach each.
+    training task is bounded. It reads them batch by batch in the order of that checksum and keeps them as numbers of words; the driver
+    gets the weights. Rows without a doc_id, a label or a text teach nothing; repeated rows teach each.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     count = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
@@ -330,12 +336,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     chosen = known.where("toxic = 0").orderBy(order, "doc_id").limit(sample_rows).unionByName(known.where("toxic = 1").orderBy(order, "doc_id").limit(sample_rows))
     rows = materialize(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("chars"), order.alias("place")), "sample")
     upto = F.sum("chars").over(W.partitionBy("toxic").orderBy("place", "doc_id"))  # over the sample alone
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "toxic", "text").collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    y = np.array([r["toxic"] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    return train([r["text"] for r in rows], y, count[1] / (count[0] + count[1]), seed=seed)
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS)
+    prior = count[1] / (count[0] + count[1])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
+        y: list[int] = []
+
+        def texts() -> Iterator[str]:
+            for b in batches:
+                y.extend(b.column(0).to_pylist())
+                yield from (t.as_py() for t in b.column(1))
+
+        net = train(texts(), y, prior, seed=seed)
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    rows = rows.coalesce(1).sortWithinPartitions(F.crc32(F.col("doc_id").cast("string")), "doc_id").select("toxic", "text")
+    found = rows.mapInArrow(learn, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else None
 
 
 def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:

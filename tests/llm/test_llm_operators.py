@@ -473,6 +473,17 @@ def test_toxicity(spark, docs, none):
     assert {x["score"] for x in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_texts_stay_off_the_driver(spark, monkeypatch):
+    """The driver gets the weights alone; the order of the table's rows does not matter."""
+    rows = [(i, f"a{i % 7} b{i % 5} " + ("zork " * 3 if i % 4 == 0 else "calm "), int(i % 4 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    collect, seen = type(df).collect, []
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.extend(self.columns) or collect(self))
+    net, again = toxicity.fit_toxicity(df, df), toxicity.fit_toxicity(df.orderBy("doc_id", ascending=False).repartition(3), df)
+    assert seen and "text" not in seen
+    assert all((net.w[k] == again.w[k]).all() for k in net.w) and net.ids == again.ids
+
+
 def test_toxicity_gradient():
     net = toxicity.Network(["a", "bb", "ccc"], 1)
     r = np.random.default_rng(0)
