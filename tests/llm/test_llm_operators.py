@@ -672,3 +672,27 @@ def test_lm_scores_token_by_token(docs):
 
     given = [t for t in texts() if t is None or len(t) < 900][:25]
     assert np.allclose(model.score(given)[1], [brute(t) for t in given], rtol=1e-4, atol=1e-3)
+
+
+def test_idle_workers_free_what_they_keep(spark):
+    """What a stage's workers keep is gone once they stand idle, so that the next stage's executors have that memory."""
+    import os
+    import time
+
+    from looploom.llm import text
+
+    def fill(batches):
+        for b in batches:
+            text.keep(("test",), lambda: bytearray(1 << 24))
+            yield b.from_pydict({"pid": [os.getpid()], "kept": [len(text._kept)]})
+
+    def look(batches):
+        for b in batches:
+            time.sleep(0.5)  # so that all workers have a task
+            yield b.from_pydict({"pid": [os.getpid()], "kept": [len(text._kept)]})
+
+    filled = {r["pid"] for r in spark.range(0, 4, 1, 4).mapInArrow(fill, "pid long, kept long").collect() if r["kept"]}
+    time.sleep(8)
+    seen = spark.range(0, 4, 1, 4).mapInArrow(look, "pid long, kept long").collect()
+    assert filled & {r["pid"] for r in seen}
+    assert all(r["kept"] == 0 for r in seen if r["pid"] in filled)
