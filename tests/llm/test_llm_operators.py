@@ -696,3 +696,25 @@ def test_idle_workers_free_what_they_keep(spark):
     seen = spark.range(0, 4, 1, 4).mapInArrow(look, "pid long, kept long").collect()
     assert filled & {r["pid"] for r in seen}
     assert all(r["kept"] == 0 for r in seen if r["pid"] in filled)
+
+
+def test_lm_steps_and_words_are_exact():
+    """Orders, largest values and one training step are those of a plain calculation, and words are parted at their white space alone."""
+    r = np.random.default_rng(4)
+    for below in (100, 1 << 16, 1 << 17):
+        x = r.integers(0, below, 5000)
+        assert (lm._order(x, below) == np.argsort(x, kind="stable")).all()
+    for n in (64, 65, 100):
+        a = r.standard_normal((50, n))
+        assert (lm._peak(a) == a.max(axis=1, keepdims=True)).all()
+    model = lm.Model(["née"], lm.Model.start(r.random(lm.TOKENS)))
+    text = "née\xa0x\x1cy\x85z　w NÉE\tlong\x0b\x0cäöü 日本語語語\r\n🙂"
+    assert model.tokens([text])[0].tolist() == [model.own[w] if w in model.own else model.first + lm.ending(w) for w in WORD.findall(text.lower())]
+    token, around = r.integers(0, lm.TOKENS, 300), r.integers(0, lm.TOKENS + 1, (4, 300))
+    around[:, :50] = lm.EDGE
+    _, _, ds = model.gradients(token, around)
+    e, g = model.w["E"].copy(), np.zeros_like(model.w["E"])
+    for side in range(4):
+        np.add.at(g[side], around[side], ds)
+    lm.Trainer(model, 0.1)._step(token, around)
+    assert np.allclose(model.w["E"], e - 0.1 * g / np.sqrt(1e-3 + g * g), rtol=1e-4, atol=1e-6)
