@@ -323,6 +323,33 @@ def test_encoder_is_the_library(file, monkeypatch):
             assert e.encode(both) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in both]
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_merges_at_once(file, monkeypatch):
+    """Plain texts are encoded without asking the library a pre-token at a time; long pre-tokens and others give its ids too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from looploom.llm import merges
+
+    t = Tokenizer.from_file(public_tokenizers.path(file))
+    r = random.Random(7)
+    some = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randint(1, most)))
+    plain = ["".join(some("aaaenthirsdou", 12) + r.choice([" ", "  ", "\n", " \n", ". ", "12, ", "É", "ß-", "«x» ", "…", "¿Ñ", "\t7"]) for _ in range(40)) for _ in range(200)]
+    others = [some(x, 90) for x in ("a", "an", "ÀÉßö", "!?-", "0123456789", "\n ", "a'st ", "×÷¢a", "日本a ", "―‧‐") for _ in range(20)]
+    want = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    for block in (merges.BLOCK, 7):
+        monkeypatch.setattr(merges, "BLOCK", block)
+        monkeypatch.setattr(tokens, "LONG", 32)
+        e = tokens.Encoder(file)
+        both = [x for y in zip(plain, others, strict=True) for x in y]
+        assert e.encode(both) == list(map(want, both))
+        assert e.encode(["", None, " "]) == list(map(want, ["", "", " "])) and e.encode([]) == []
+        monkeypatch.setattr(tokens, "LONG", 1000)
+        e = tokens.Encoder(file)
+        e._part = e._ask = lambda texts: [] if texts == [] else pytest.fail("asked")
+        assert e.encode(plain) == list(map(want, plain))
+
+
 # ---- 5: embeddings -----------------------------------------------------------------------------------------------------------------
 
 
