@@ -40,6 +40,10 @@ DIM, BATCH, SEED = 16, 1024, 5
 ROUNDS, SHARE = (0.08, 0.03), 2
 #: Models that one task averages, and endings that a worker remembers.
 FAN_IN, REMEMBERED = 16, 200_000
+#: Exponentials of logits up to this, either way, and sums of many of them are whole in single precision.
+SAFE = 60
+#: Classes whose weights a step changes at once, as they fit a core's cache.
+AT_ONCE = 8
 
 
 def ending(word: str) -> int:
@@ -58,11 +62,24 @@ def _peak(a: np.ndarray) -> np.ndarray:
     return a.max(axis=1, keepdims=True)
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    """The softmax of each row, in place."""
-    a -= _peak(a)
+def _lower(a: np.ndarray) -> None:
+    """Take the largest of each row off it, if any logit is so large that its exponential is not safe."""
+    if a.size and not (a.max() < SAFE and a.min() > -SAFE):
+        a -= _peak(a)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """The sum of each row: a product, which is faster."""
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
+def _softmax(a: np.ndarray, by: float = 1) -> np.ndarray:
+    """The softmax of each row over ``by``, in place."""
+    _lower(a)
     np.exp(a, out=a)
-    a /= a.sum(axis=1, keepdims=True)
+    n = _sums(a)
+    n *= by
+    a /= n[:, None]
     return a
 
 
@@ -163,9 +180,9 @@ class Model:
         h = self.hidden(around[:, order])
         logp = np.zeros(len(token), h.dtype)
         for a, at in ((h @ self.w["C"] + self.w["c"], kind), (self._inside(h, kind, ends), inner)):
-            a -= _peak(a)
+            _lower(a)
             logp += a[rows, at]
-            logp -= np.log(np.exp(a, out=a).sum(axis=1))
+            logp -= np.log(_sums(np.exp(a, out=a)))
         out = np.empty_like(logp)
         out[order] = logp
         return out
@@ -180,8 +197,9 @@ class Model:
     def _inside(self, h: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Inner logits of places in the order of their classes."""
         a = np.empty((len(h), self.inside), h.dtype)
-        for k in np.flatnonzero(np.diff(ends)):
-            np.matmul(h[ends[k] : ends[k + 1]], self.w["T"][k], out=a[ends[k] : ends[k + 1]])
+        at, w = ends.tolist(), self.w["T"]
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            np.dot(h[at[k] : at[k + 1]], w[k], a[at[k] : at[k + 1]])
         a += self.w["t"].take(kind, axis=0)
         return a
 
@@ -206,21 +224,26 @@ class Model:
         n, rows = len(token), np.arange(len(token))
         kind, order, ends = self._by_class(token)
         h, inner, there = self.hidden(around[:, order]), token[order] % self.inside, np.flatnonzero(np.diff(ends))
-        p, q = _softmax(h @ self.w["C"] + self.w["c"]), _softmax(self._inside(h, kind, ends))
-        loss = -np.log(p[rows, kind] + 1e-30).sum() - np.log(q[rows, inner] + 1e-30).sum()
-        p[rows, kind] -= 1
-        q[rows, inner] -= 1
-        grad = {"C": h.T @ p / n, "c": p.sum(axis=0) / n, "T": np.zeros_like(self.w["T"]), "t": np.zeros_like(self.w["t"])}
+        one = h.dtype.type(1 / n)
+        p, q = _softmax(h @ self.w["C"] + self.w["c"], n), _softmax(self._inside(h, kind, ends), n)
+        loss = -np.log(p[rows, kind] * n + 1e-30).sum() - np.log(q[rows, inner] * n + 1e-30).sum()
+        p[rows, kind] -= one
+        q[rows, inner] -= one
+        # a column of ones beside the hidden values gives the gradients of the biases
+        h1 = np.concatenate([h, np.ones((n, 1), h.dtype)], axis=1)
+        outer, inside = h1.T @ p, np.empty((self.classes, DIM + 1, self.inside), h.dtype)
+        inside[np.diff(ends) == 0] = 0
+        grad = {"C": outer[:DIM], "c": outer[DIM], "T": inside[:, :DIM], "t": inside[:, DIM]}
         dh, of_q = p @ self.w["C"].T, np.empty_like(h)
-        for k in there:
-            r = slice(ends[k], ends[k + 1])
-            np.matmul(h[r].T, q[r], out=grad["T"][k])
-            np.matmul(q[r], self.w["T"][k].T, out=of_q[r])
+        at, back = ends.tolist(), self.w["T"].transpose(0, 2, 1)
+        for k in there.tolist():
+            a, b = at[k], at[k + 1]
+            some = q[a:b]
+            np.dot(h1[a:b].T, some, inside[k])
+            np.dot(some, back[k], of_q[a:b])
         dh += of_q
-        grad["T"] /= n
-        grad["t"][there] = np.add.reduceat(q, ends[there], axis=0) / n
         ds = np.empty_like(dh)
-        ds[order] = dh * (1 - h * h) / n
+        ds[order] = dh * (1 - h * h)
         grad["b"] = ds.sum(axis=0)
         return float(loss / n), grad, ds
 
@@ -249,11 +272,16 @@ class Trainer:
     def _step(self, token: np.ndarray, around: np.ndarray) -> None:
         w, sq = self.model.w, self.square
         _, grad, ds = self.model.gradients(token, around)
-        for k, g in grad.items():
-            sq[k] += g * g
-            g *= self.rate
-            g /= np.sqrt(sq[k])
-            w[k] -= g
+        for k, whole in grad.items():
+            step = AT_ONCE if k == "T" else len(whole)
+            for i in range(0, len(whole), step):
+                g, s = whole[i : i + step], sq[k][i : i + step]
+                root = g * g
+                s += root
+                np.sqrt(s, out=root)
+                g *= self.rate
+                g /= root
+                w[k][i : i + step] -= g
         # the rows of all sides at once
         e, s = w["E"].reshape(-1, DIM), sq["E"].reshape(-1, DIM)
         r = (around + len(e) // len(SIDES) * np.arange(len(SIDES))[:, None]).reshape(-1)

@@ -725,6 +725,22 @@ def test_idle_workers_free_what_they_keep(spark):
     assert all(r["kept"] == 0 for r in seen if r["pid"] in filled)
 
 
+def test_lm_softmax_of_any_logits():
+    """Logits that are safe are taken as they are, others less their row's largest; both give the softmax, over a number if one is given."""
+    r = np.random.default_rng(8)
+    for size in (1, 59, 61, 300):
+        a = (r.random((40, 65)) * 2 - 1).astype(np.float32) * size
+        e = np.exp(a.astype(np.float64) - a.max(axis=1, keepdims=True))
+        want = e / e.sum(axis=1, keepdims=True)
+        assert np.allclose(lm._softmax(a.copy()), want, rtol=1e-4, atol=1e-30) and np.allclose(lm._softmax(a.copy(), 7), want / 7, rtol=1e-4, atol=1e-30)
+    model = lm.Model([], lm.Model.start(r.random(lm.TOKENS)))
+    around = np.full((4, lm.TOKENS), lm.EDGE)
+    for size in (1, 1000):
+        model.w["C"] *= size
+        assert math.isclose(float(np.exp(model.log_probability(np.arange(lm.TOKENS), around)).sum()), 1, rel_tol=1e-4)
+        assert all(np.isfinite(g).all() for g in model.gradients(np.arange(100), around[:, :100])[1].values())
+
+
 def test_lm_steps_and_words_are_exact():
     """Orders, largest values and one training step are those of a plain calculation, and words are parted at their white space alone."""
     r = np.random.default_rng(4)
