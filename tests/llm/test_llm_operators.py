@@ -761,3 +761,45 @@ def test_lm_steps_and_words_are_exact():
         np.add.at(g[side], around[side], ds)
     lm.Trainer(model, 0.1)._step(token, around)
     assert np.allclose(model.w["E"], e - 0.1 * g / np.sqrt(1e-3 + g * g), rtol=1e-4, atol=1e-6)
+
+
+def test_lm_cuts_texts_once(spark, docs, monkeypatch):
+    """Rounds and scores read the tokens that were cut once, and give what fit and score_lm do."""
+    docs = spark.createDataFrame(docs.collect(), SCHEMA).coalesce(1)  # rows in one order
+    for bound in (lm.BROADCAST_WORDS, -1):  # counts sent out, and joined
+        monkeypatch.setattr(lm, "BROADCAST_WORDS", bound)
+        whole = lm.fit(docs)
+        model = lm.vocabulary(docs)
+        coded = lm.kept(lm.encoded(docs, model))
+        assert coded.is_cached and ("others" in coded.columns) == model.joins == (bound < 0)
+        rows = {r["doc_id"]: r["tokens"] for r in coded.collect()}
+        assert all(np.frombuffer(rows[i], model.stored).tolist() == model.tokens([t])[0].tolist() for i, t in by_id(docs).items())
+        lm.train(coded, model)
+        assert all(np.allclose(model.w[k], whole.w[k], atol=1e-5) for k in model.w)
+        want = {r["doc_id"]: r for r in lm.score_lm(docs, whole).collect()}
+        for r in lm.score_encoded(coded, model).collect():
+            w = want[r["doc_id"]]
+            assert r["n_tokens"] == w["n_tokens"] and math.isclose(r["log_probability"], w["log_probability"], rel_tol=1e-5, abs_tol=1e-4)
+        coded.unpersist()
+
+
+def test_lm_step_of_all_weights():
+    """Gradients of rows that repeat are summed whole, and a step changes all weights by plain Adagrad, with classes without a place."""
+    r = np.random.default_rng(6)
+    for below in (5, 300, 1 << 17, 1 << 40):
+        rows, values = r.integers(0, below, 1200), r.standard_normal((300, 16))
+        rows[::3] = rows[0]
+        found, got = lm._totals(rows, values, below)
+        want, at = np.unique(rows, return_inverse=True)
+        sums = np.zeros((len(want), 16))
+        np.add.at(sums, at, np.tile(values, (4, 1)))
+        assert (found == want).all() and np.allclose(got, sums)
+    model = lm.Model([], lm.Model.start(r.random(lm.TOKENS)))
+    token, around = r.integers(0, 50, 200) * 7, r.integers(0, lm.TOKENS + 1, (4, 200))
+    loss, grad, _ = model.gradients(token, around)
+    assert math.isclose(loss, -model.log_probability(token, around).mean(), rel_tol=1e-4)
+    before = {k: v.copy() for k, v in model.w.items()}
+    lm.Trainer(model, 0.1)._step(token, around)
+    for k, g in grad.items():
+        assert np.allclose(model.w[k], before[k] - 0.1 * g / np.sqrt(1e-3 + g * g), rtol=1e-4, atol=1e-6), k
+    assert all((model.to_bytes() == lm.Model([], lm.Model.from_bytes(model.to_bytes(), lm.CLASSES)).to_bytes(), (model.w["T"][10:] == before["T"][10:]).all()))
