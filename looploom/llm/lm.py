@@ -45,10 +45,11 @@ FAN_IN, REMEMBERED = 16, 200_000
 #: Exponentials of logits up to this, either way, and sums of many of them are whole in single precision.
 SAFE = 60
 #: Classes whose weights a step changes at once, as they fit a core's cache.
-AT_ONCE = 8
-#: Texts whose words are parted at once, and places that are scored at once.
+AT_ONCE = 16
+#: Texts whose words are parted at once, places that are scored at once, and those whose classes are.
 TEXTS = 1 << 12
 PLACES = 1 << 12
+ROWS = 1 << 9
 #: Gradients of a token met up to so often in a batch are added one by one.
 FEW = 4
 
@@ -85,6 +86,11 @@ def _lower(a: np.ndarray) -> None:
         a -= _peak(a)
 
 
+def _bound(layer: np.ndarray) -> float:
+    """What no logit of a layer with its biases exceeds, either way: hidden values are from -1 to 1."""
+    return float(np.abs(layer).sum(axis=-2).max())
+
+
 def _sums(a: np.ndarray) -> np.ndarray:
     """The sum of each row: a product, which is faster."""
     return a @ np.ones(a.shape[1], a.dtype)
@@ -160,7 +166,7 @@ class Model:
         self.classes, self.inside = weights["t"].shape
         self.edge = self.classes * self.inside
         self.first = self.edge - ENDINGS
-        self.ends, self.coded = _Endings(self.first), {w.encode(): i for w, i in self.own.items()}
+        self.ends, self.listed = _Endings(self.first), pa.array(vocabulary, pa.string())
         self.ended, self.known, self.counts = np.zeros(ENDINGS), None, None
         #: How token numbers are stored.
         self.stored = "<u2" if self.edge <= 1 << 16 else "<u4"
@@ -199,12 +205,15 @@ class Model:
         """Number of words of each text, and of all places: the token, the word's log-share in it, and its hash (0 for words that stand for themselves)."""
         found, size = _words(texts)
         coded = found.dictionary_encode()
-        different, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
-        own, ends = self.coded.get, self.ends
-        token = np.array([n if n is not None else ends[x[-3:] if x.isascii() else x.decode()[-3:].encode()] for n, x in zip(map(own, different), different, strict=True)], np.int64)
-        other = token >= self.first
+        different, at = coded.dictionary, coded.indices.to_numpy()
+        token = pc.index_in(different, self.listed).fill_null(-1).to_numpy().astype(np.int64)
+        other = token < 0
+        rest = different.filter(pa.array(other))
+        end = pc.utf8_slice_codeunits(rest, -3).dictionary_encode()
+        token[other] = np.array([self.ends[x] for x in end.dictionary.cast(pa.binary()).to_pylist()], np.int64)[end.indices.to_numpy()]
         hashes = np.zeros(len(token), np.int64)
-        hashes[other] = np.array([xxhash.xxh64_intdigest(different[i], 42) for i in np.flatnonzero(other)], np.uint64).view(np.int64)
+        # an array of objects, made at once
+        hashes[other] = np.array([xxhash.xxh64_intdigest(x, 42) for x in rest.cast(pa.binary()).to_numpy(zero_copy_only=False)], np.uint64).view(np.int64)
         return size, token[at], self.share(token, hashes[other])[at], hashes[at]
 
     def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -244,21 +253,29 @@ class Model:
         np.tanh(a, out=out[:, :DIM])
         return out
 
-    def log_probability(self, token: np.ndarray, around: np.ndarray, layers: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Log-probability of each token given those around it; ``layers`` are those of :meth:`joined`."""
+    def log_probability(self, token: np.ndarray, around: np.ndarray, layers: tuple[np.ndarray, np.ndarray] | None = None, safe: bool = False) -> np.ndarray:
+        """Log-probability of each token given those around it; ``layers`` are those of :meth:`joined`, ``safe`` if their bounds are below SAFE."""
         outer, inside = layers or self.joined()
         kind, order, ends = self._by_class(token)
         rows, inner = np.arange(len(token)), token[order] % self.inside
         h = self.hidden(around[:, order])
         logp = np.zeros(len(token), h.dtype)
-        for a, at in ((h @ outer, kind), (self._inside(h, inside, ends), inner)):
-            _lower(a)
-            logp += a[rows, at]
-            logp -= np.log(_sums(np.exp(a, out=a)))
+        for i in range(0, len(h), ROWS):
+            some = slice(i, i + ROWS)
+            self._add(logp[some], h[some] @ outer, rows[: len(logp[some])], kind[some], safe)
+        self._add(logp, self._inside(h, inside, ends), rows, inner, safe)
         out = np.empty_like(logp)
         out[order] = logp
         return out
 
+    @staticmethod
+    def _add(logp: np.ndarray, a: np.ndarray, rows: np.ndarray, at: np.ndarray, safe: bool) -> None:
+        """Add the log-probabilities that the logits of each row give what is ``at`` a place in it."""
+        if not safe:
+            _lower(a)
+        logp += a[rows, at]
+        logp -= np.log(_sums(np.exp(a, out=a)))
+
     def _by_class(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of the tokens in ascending order, the order, and where each class begins and the last ends."""
         kind = token // self.inside
@@ -284,7 +301,8 @@ class Model:
         size = np.array([len(t) for t in ids], np.int64)
         token, around = self.sides(ids)
         layers = self.joined()
-        logp = [self.log_probability(token[i : i + places], around[:, i : i + places], layers) for i in range(0, len(token), places)]
+        safe = max(map(_bound, layers)) < SAFE
+        logp = [self.log_probability(token[i : i + places], around[:, i : i + places], layers, safe) for i in range(0, len(token), places)]
         return size, _summed(np.concatenate([np.zeros(0), *logp]), size)
 
     def gradients(self, token: np.ndarray, around: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:

@@ -803,3 +803,38 @@ def test_lm_step_of_all_weights():
     for k, g in grad.items():
         assert np.allclose(model.w[k], before[k] - 0.1 * g / np.sqrt(1e-3 + g * g), rtol=1e-4, atol=1e-6), k
     assert all((model.to_bytes() == lm.Model([], lm.Model.from_bytes(model.to_bytes(), lm.CLASSES)).to_bytes(), (model.w["T"][10:] == before["T"][10:]).all()))
+
+
+def test_lm_logits_are_looked_at_only_beyond_their_bound(monkeypatch):
+    """Scores of layers whose bound is safe need no look at the logits, which never exceed it; beyond it they are as exact."""
+    r, looked = np.random.default_rng(8), []
+    lower = lm._lower
+    monkeypatch.setattr(lm, "_lower", lambda a: (looked.append(len(a)), lower(a)))
+    ids = [r.integers(0, lm.TOKENS, n) for n in (700, 0, 3, 900)]
+    for by, safe in ((1, True), (300, False)):
+        model = lm.Model([], lm.Model.start(r.random(lm.TOKENS)))
+        model.w["C"] *= by
+        layers = model.joined()
+        token, around = model.sides(ids)
+        h = model.hidden(around)
+        assert (np.abs(h @ layers[0]).max() <= lm._bound(layers[0])) and (max(map(lm._bound, layers)) < lm.SAFE) == safe
+        a, b = (h @ layers[0]).astype(float), np.einsum("nd,ndk->nk", h, layers[1][token // model.inside]).astype(float)
+        rows = np.arange(len(token))
+        want = sum(x[rows, at] - np.logaddexp.reduce(x, axis=1) for x, at in ((a, token // model.inside), (b, token % model.inside)))
+        looked.clear()
+        size, got = model.score_tokens(ids, 1000)
+        assert size.tolist() == [700, 0, 3, 900] and (not looked) == safe
+        assert np.allclose(got, lm._summed(want, size), rtol=1e-4)
+
+
+def test_lm_cuts_words_of_any_script():
+    """A word of the vocabulary has its number, any other that of its last three characters, and the hash of the whole."""
+    import xxhash
+
+    model = lm.Model(["the", "über"], lm.Model.start(np.ones(lm.TOKENS)))
+    size, token, _, hashes = model.cut(["The ÜBER ab straße", None, " \t", "日本語テキスト the x"])
+    words = ["the", "über", "ab", "straße", "日本語テキスト", "the", "x"]
+    own = {"the": 0, "über": 1}
+    assert size.tolist() == [4, 0, 0, 3] and token.tolist() == [own.get(w, model.first + lm.ending(w)) for w in words]
+    assert hashes.view(np.uint64).tolist() == [0 if w in own else xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    assert [len(x) for x in model.cut([None, ""])] == [2, 0, 0, 0]
