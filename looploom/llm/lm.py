@@ -45,7 +45,7 @@ FAN_IN, REMEMBERED = 16, 200_000
 #: Exponentials of logits up to this, either way, and sums of many of them are whole in single precision.
 SAFE = 60
 #: Classes whose weights a step changes at once, as they fit a core's cache.
-AT_ONCE = 16
+AT_ONCE = 8
 #: Texts whose words are parted at once, places that are scored at once, and those whose classes are.
 TEXTS = 1 << 12
 PLACES = 1 << 12
