@@ -585,6 +585,14 @@ def test_urls(spark):
     assert urls.filter_urls(df.where("false"), listed).count() == 0
 
 
+def test_op10_follows_the_contract(spark, tmp_path):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    given = {"http://a.com/en/1": "com/en/", "http://b.example.com/en/71": "example.com/en/7", "http://a.net/de/8": "net/de/", "http://example.net/de/7": "net/de/", "http://spam-farm.net/de/": "net/de/", "http://m.example.net/de/8x": "example.net/de/8", "http://a.org/es/": "org/es/"}
+    spark.createDataFrame(list(enumerate(given)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, contract[rule]) for i, rule in enumerate(given.values())}
+
+
 def test_bloom_has_no_false_negatives(spark):
     pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h', id, '.org/p') as url")
     listed = pages.where("page_id % 3 = 0").select(urls.canonical(pages["url"]).alias("canonical"))
