@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -411,6 +412,23 @@ def test_token_counts(docs, none):
     assert small.count_texts(texts()) == t.count_texts(texts())
 
 
+def test_token_counts_at_once_are_those_one_by_one():
+    t, r = counts.Trie.of(counts.VOCABULARY), random.Random(5)
+    odd = ["".join(r.choice("abcdefeea\0\x1c\xa0\u2581\u0416\u00e9\u4e2d\u00df\U0001f600") for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["x" * r.randint(50, 300) for _ in range(20)]
+    given = [None, "", " ", "\n a \t b\x0b\x0cc\r ", "\u00e9" * 32, "\u00e9" * 33] + [" ".join(odd[i : i + 50]) for i in range(0, len(odd), 50)]
+    split = [WORD.findall(x or "") for x in given]
+    single = counts.Trie(t.pieces)
+    assert t.count_texts(given) == ([len(w) for w in split], [sum(single.insert(counts.SPACE + v) for v in w) for w in split])
+    # and take less time, where most words are met for the first time
+    new = sorted({"".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 14))) for _ in range(40_000)}, key=hash)
+    single.clear()
+    began = time.process_time()
+    want = sum(single.insert(counts.SPACE + v) for v in new)
+    between = time.process_time()
+    assert t.count_texts([" ".join(new)])[1] == [want]
+    assert 2 * (time.process_time() - between) < between - began
+
+
 def test_scores_of_ranks_are_log_probabilities():
     p = counts.Trie.of(counts.VOCABULARY).pieces
     usual = [s for s in p.values() if s > counts.UNREACHABLE]
