@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from looploom.llm.text import WORD_RE, free, keep, table
+from looploom.llm.text import WORD_RE, bound_batches, free, keep, table
 from looploom.tables import materialize
 
 WINDOW, STEP = 32, 16
@@ -362,10 +362,12 @@ def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
 
     Null and empty texts are one window of padding, scored like any other; equal texts score alike; very long texts are scored in all
     their windows. Without a network (nothing to learn from) every score is 0. Columns of ``docs`` named like the new ones are replaced.
+    The session's Arrow batches are bounded (:func:`looploom.llm.text.bound_batches`), as whole texts are in them.
     """
     docs = docs.drop("score", "predicted")
     if net is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+    bound_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(net), f"{id(net)}-{np.random.default_rng().integers(1 << 62)}"
 
     @F.pandas_udf("double")

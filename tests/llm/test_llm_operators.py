@@ -588,6 +588,18 @@ def test_wavelet_files(spark, docs, none, tmp_path):
     assert wavelet.write_shards(none, str(tmp_path / "none")).count() == 0
 
 
+def test_scoring_bounds_arrow_batches(spark, docs):
+    name, net = "spark.sql.execution.arrow.maxRecordsPerBatch", toxicity.Network(["alpha"])
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(name, given)
+            assert toxicity.score_toxicity(docs, net).where("score is not null").count() == docs.count()
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- 10: URLs ----------------------------------------------------------------------------------------------------------------------
 
 
