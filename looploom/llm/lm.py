@@ -46,10 +46,10 @@ FAN_IN, REMEMBERED = 16, 200_000
 SAFE = 60
 #: Classes whose weights a step changes at once, as they fit a core's cache.
 AT_ONCE = 8
-#: Texts whose words are parted at once, places that are scored at once, and those whose classes are.
+#: Texts whose words are parted at once, places that are scored at once, in the order of their classes, and those whose logits are there at once.
 TEXTS = 1 << 12
-PLACES = 1 << 12
-ROWS = 1 << 9
+PLACES = 1 << 15
+ROWS = 1 << 10
 #: Gradients of a token met up to so often in a batch are added one by one.
 FEW = 4
 
@@ -96,16 +96,33 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return a @ np.ones(a.shape[1], a.dtype)
 
 
+def _powers(a: np.ndarray) -> np.ndarray:
+    """Turn logits into their exponentials, up to a factor of each row, and return the sum of each row."""
+    _lower(a)
+    return _sums(np.exp(a, out=a))
+
+
 def _softmax(a: np.ndarray, by: float = 1) -> np.ndarray:
     """The softmax of each row over ``by``, in place."""
-    _lower(a)
-    np.exp(a, out=a)
-    n = _sums(a)
+    n = _powers(a)
     n *= by
     a *= np.reciprocal(n, out=n)[:, None]
     return a
 
 
+def _errors(a: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Turn logits into gradients of a mean over ``n`` places, of which ``rows`` have their token ``at`` a place: of each row, up to a factor.
+
+    Returns the probabilities of the tokens and the factors, as a column: fewer values are to be multiplied by them later.
+    """
+    total = _powers(a)
+    of, whole = a[rows, at], total.take(rows)
+    a[rows, at] = of - whole
+    of /= whole
+    total *= n
+    return of, np.reciprocal(total, out=total)[:, None]
+
+
 def _totals(rows: np.ndarray, values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``rows`` (numbers up to ``below``), and the sum of each one's ``values``, which repeat as often as ``rows`` is longer than they are."""
     order = _order(rows, below)
@@ -258,12 +275,21 @@ class Model:
         outer, inside = layers or self.joined()
         kind, order, ends = self._by_class(token)
         rows, inner = np.arange(len(token)), token[order] % self.inside
-        h = self.hidden(around[:, order])
-        logp = np.zeros(len(token), h.dtype)
-        for i in range(0, len(h), ROWS):
-            some = slice(i, i + ROWS)
-            self._add(logp[some], h[some] @ outer, rows[: len(logp[some])], kind[some], safe)
-        self._add(logp, self._inside(h, inside, ends), rows, inner, safe)
+        around, at, k = around.take(order, axis=1), ends.tolist(), 0
+        logp = np.zeros(len(token), outer.dtype)
+        for i in range(0, len(token), ROWS):
+            # all of some rows in one go, as they fit a core's cache
+            to = min(i + ROWS, len(token))
+            h = self.hidden(around[:, i:to])
+            self._add(logp[i:to], h @ outer, rows[: to - i], kind[i:to], safe)
+            a, begun = np.empty((to - i, self.inside), h.dtype), i
+            while begun < to:
+                while at[k + 1] <= begun:
+                    k += 1
+                done = min(at[k + 1], to)
+                h[begun - i : done - i].dot(inside[k], a[begun - i : done - i])
+                begun = done
+            self._add(logp[i:to], a, rows[: to - i], inner[i:to], safe)
         out = np.empty_like(logp)
         out[order] = logp
         return out
@@ -288,7 +314,7 @@ class Model:
         a = np.empty((len(h), self.inside), h.dtype)
         at = ends.tolist()
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            np.dot(h[at[k] : at[k + 1]], inside[k], a[at[k] : at[k + 1]])
+            h[at[k] : at[k + 1]].dot(inside[k], a[at[k] : at[k + 1]])
         return a
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,15 +352,16 @@ class Model:
         """
         n, rows = len(token), np.arange(len(token))
         kind, order, ends = self._by_class(token)
-        around, inner = around[:, order], token[order] % self.inside
+        around, inner = around.take(order, axis=1), token.take(order) % self.inside
         h, (outer, inside) = self.hidden(around), layers
-        one = h.dtype.type(1 / n)
-        p, q = _softmax(h @ outer, n), _softmax(self._inside(h, inside, ends), n)
-        of_kind, of_inner = p[rows, kind], q[rows, inner]
-        p[rows, kind] = of_kind - one
-        q[rows, inner] = of_inner - one
-        dh, of_q = p @ outer[:DIM].T, np.empty((n, DIM), h.dtype)
-        at, back, turned = ends.tolist(), inside[:, :DIM].transpose(0, 2, 1), h.T
+        p = h @ outer
+        of_kind, by = _errors(p, rows, kind, n)
+        grad_outer, dh = (h * by).T @ p, p @ outer[:DIM].T
+        dh *= by
+        q = self._inside(h, inside, ends)
+        of_inner, by = _errors(q, rows, inner, n)
+        of_q, turned = np.empty((n, DIM), h.dtype), (h * by).T
+        at, back = ends.tolist(), inside[:, :DIM].transpose(0, 2, 1)
         grad = np.empty((AT_ONCE, *inside.shape[1:]), h.dtype)
         for i in range(0, self.classes, AT_ONCE):
             to = min(i + AT_ONCE, self.classes)
@@ -346,13 +373,14 @@ class Model:
                     grad[k - i] = 0
                     continue
                 some = q[a:b]
-                np.dot(turned[:, a:b], some, grad[k - i])
-                np.dot(some, back[k], of_q[a:b])
+                turned[:, a:b].dot(some, grad[k - i])
+                some.dot(back[k], of_q[a:b])
             each(i, grad[: to - i])
+        of_q *= by
         dh += of_q
         h = h[:, :DIM]
         dh *= 1 - h * h
-        return of_kind * of_inner * (n * n), turned @ p, order, around, dh
+        return of_kind * of_inner, grad_outer, order, around, dh
 
 
 class Trainer:

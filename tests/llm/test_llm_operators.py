@@ -876,3 +876,28 @@ def test_lm_cuts_words_of_any_script():
     assert size.tolist() == [4, 0, 0, 3] and token.tolist() == [own.get(w, model.first + lm.ending(w)) for w in words]
     assert hashes.view(np.uint64).tolist() == [0 if w in own else xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
     assert [len(x) for x in model.cut([None, ""])] == [2, 0, 0, 0]
+
+
+def test_lm_errors_and_scores_in_cache_sized_rows(monkeypatch):
+    """Errors times their factors are the gradients of the mean, and scores hold the logits of ROWS places at once, whatever that is, with the same results."""
+    r = np.random.default_rng(9)
+    for size in (1, 300):
+        a, at, rows = (r.random((60, 65)) * 2 - 1).astype(np.float32) * size, r.integers(0, 65, 50), r.permutation(60)[:50]
+        want = np.exp(a.astype(float) - np.logaddexp.reduce(a.astype(float), axis=1)[:, None])
+        of = want[rows, at]
+        want[rows, at] -= 1
+        got, by = lm._errors(a, rows, at, 60)
+        assert np.allclose(got, of, rtol=1e-3, atol=1e-6) and np.allclose(a * by, want / 60, rtol=1e-3, atol=1e-7)
+    model = lm.Model([], lm.Model.start(r.random(lm.TOKENS)))
+    ids = [r.integers(0, 4, n) * r.integers(0, 1024, n) for n in (700, 0, 1, 900)]
+    token, around = model.sides(ids)
+    h, (outer, inside) = model.hidden(around), model.joined()
+    rows = np.arange(len(token))
+    both = (h @ outer, token // model.inside), (np.einsum("nd,ndk->nk", h, inside[token // model.inside]), token % model.inside)
+    want = lm._summed(sum(a[rows, at] - np.logaddexp.reduce(a.astype(float), axis=1) for a, at in both), np.array([len(x) for x in ids]))
+    held, add = [], lm.Model._add
+    monkeypatch.setattr(lm.Model, "_add", staticmethod(lambda logp, a, *more: (held.append(len(a)), add(logp, a, *more))))
+    for most in (1, 64, 1 << 12):
+        monkeypatch.setattr(lm, "ROWS", most)
+        held.clear()
+        assert np.allclose(model.score_tokens(ids)[1], want, rtol=1e-4) and max(held) <= most and sum(held) == 2 * len(token)
